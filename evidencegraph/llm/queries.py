@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op6_bpe
 from .decontaminate import op10_decontaminate
 from .simhash import op9_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_bpe": op6_bpe,
         "op9_simhash": op9_simhash,
         "op10_decontaminate": op10_decontaminate,
     }
