@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op6_bpe
 from .decontaminate import op10_decontaminate
 from .simhash import op9_simhash
+from .toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_toxicity": op3_toxicity,
         "op6_bpe": op6_bpe,
         "op9_simhash": op9_simhash,
         "op10_decontaminate": op10_decontaminate,
