@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_bpe
 from .decontaminate import op10_decontaminate
+from .editprint import op5_editprint
 from .simhash import op9_simhash
 from .toxicity import op3_toxicity
 
@@ -15,6 +16,7 @@ from .toxicity import op3_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_toxicity": op3_toxicity,
+        "op5_editprint": op5_editprint,
         "op6_bpe": op6_bpe,
         "op9_simhash": op9_simhash,
         "op10_decontaminate": op10_decontaminate,
