@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ranged(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """`rows` with _id (`key`, the least long for null) and _part: about `n` ranges of _id between approximate quantiles."""
+    keyed = rows.withColumn("_id", F.coalesce(key, F.lit(-(1 << 63)))).withColumn("_at", F.col("_id").cast("double"))
+    bounds = sorted(set(keyed.approxQuantile("_at", [k / n for k in range(1, n)], 0.2 / n)))
+    if bounds:
+        keyed = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="_at", outputCol="_part").transform(keyed)
+    else:
+        keyed = keyed.withColumn("_part", F.lit(0.0))
+    return keyed.withColumn("_part", F.col("_part").cast("int")).drop("_at")
+
+
 def utf8(text: str = "text"):
     """The bytes of a text; null counts as empty."""
     return F.coalesce(F.col(text), F.lit("")).cast("binary")

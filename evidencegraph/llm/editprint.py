@@ -20,11 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, session
+from .common import partitions, ranged, session
 from .links import Near, bucketed, components
 
 SLOTS, BANDS, SAMPLED = 64, 8, 6
@@ -149,14 +148,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     Texts move once. Parts are ranges of doc_id between quantiles; only the first row of each part goes to two places.
     """
     spark = docs.sparkSession
-    low = -(1 << 63)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = rows.withColumn("_id", F.coalesce("doc_id", F.lit(low))).withColumn("_at", F.col("_id").cast("double"))
-    n = 4 * partitions(spark)
-    bounds = sorted(set(keyed.approxQuantile("_at", [k / n for k in range(1, n)], 0.2 / n)))
-    splits = [-float("inf"), *bounds, float("inf")]
-    put = Bucketizer(splits=splits, inputCol="_at", outputCol="_part") if len(splits) > 2 else None
-    keyed = (put.transform(keyed) if put else keyed.withColumn("_part", F.lit(0.0))).withColumn("_part", F.col("_part").cast("int"))
+    keyed = ranged(rows, "doc_id", 4 * partitions(spark))
     firsts = sorted(((r._part, r.top) for r in keyed.groupBy("_part").agg(F.max("_id").alias("top")).collect()), reverse=True)  # a row for each part
     to = [(top, firsts[k - 1][0]) for k, (_, top) in enumerate(firsts)]
     ghosts = F.broadcast(spark.createDataFrame(to or [(None, None)], "_id long, _to int"))

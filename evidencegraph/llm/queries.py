@@ -11,6 +11,7 @@ from .decontaminate import op10_decontaminate
 from .editprint import op5_editprint
 from .simhash import op9_simhash
 from .toxicity import op3_toxicity
+from .wavelet import op8_wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op5_editprint": op5_editprint,
         "op6_bpe": op6_bpe,
+        "op8_wavelet": op8_wavelet,
         "op9_simhash": op9_simhash,
         "op10_decontaminate": op10_decontaminate,
     }
