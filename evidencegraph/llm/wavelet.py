@@ -37,7 +37,7 @@ MAGIC = b"EGWM0001"
 #: Bytes of a plane in one compressed block, and ids in one file before the next one of the shard begins.
 BLOCK, FILE_IDS = 1 << 14, 6_000_000
 #: Words that a worker keeps the ids of, in two generations.
-WORDS = 400_000
+WORDS = 500_000
 NULL = -(1 << 63)
 
 
@@ -64,7 +64,7 @@ class Matrix:
         zeros, ones, ends, parts = [], [], [0], []
         blocks = max(1, -(-len(ids) // (8 * BLOCK)))
         for k in range(levels - 1, -1, -1):
-            bit = (ids >> ids.dtype.type(k) & ids.dtype.type(1)).astype(bool)
+            bit = ids & ids.dtype.type(1 << k) != 0
             plane = np.packbits(bit)
             before = 0
             for b in range(blocks):
@@ -167,7 +167,7 @@ class Matrix:
         return out
 
 
-class Words(dict):
+class Words:
     """Pieces of text to packed ids (little-endian, 16 bits) by the library.
 
     The vocabulary lower-cases, drops white space, and never joins what its splitting parts. In Latin-1, where
@@ -178,6 +178,7 @@ class Words(dict):
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        self.table: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         if max(vocabulary.values()) >= 1 << 16:
@@ -209,22 +210,22 @@ class Words(dict):
             if len(cut) == len(some):
                 data, begin = ids.tobytes(), 0
                 for x, to in zip(some, (2 * cut).tolist(), strict=True):
-                    self[x] = data[begin:to]
+                    self.table[x] = data[begin:to]
                     begin = to
         for x in new:
-            if x not in self:
-                self[x] = np.array(self.tokenizer.encode(x.removeprefix("\0"), add_special_tokens=False).ids, "<u2").tobytes()
+            if x not in self.table:
+                self.table[x] = np.array(self.tokenizer.encode(x.removeprefix("\0"), add_special_tokens=False).ids, "<u2").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self) > WORDS:
-            self.old = dict(self)
-            self.clear()
+        if len(self.table) > WORDS:
+            self.old, self.table = self.table, {}
         split = [self._pieces(t) for t in texts]
-        missing = set().union(*split) - self.keys()
+        missing = set().union(*split) - self.table.keys()
         for w in missing & self.old.keys():
-            self[w] = self.old[w]
-        self._learn(sorted(missing - self.keys()))
-        return [b"".join([self[w] for w in s]) for s in split]
+            self.table[w] = self.old[w]
+        self._learn(sorted(missing - self.table.keys()))
+        get = self.table.__getitem__
+        return [b"".join(map(get, s)) for s in split]
 
 
 def _latin(text: str) -> bool:
