@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,7 +47,19 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evidencegraph/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written = path
+    return found
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of `table` that nothing reads any more, and let Spark's cleaner drop the shuffles of finished steps."""
+    sc = tables[0].sparkSession.sparkContext
+    for df in tables:
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    sc._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
