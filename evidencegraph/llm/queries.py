@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op6_bpe
 from .decontaminate import op10_decontaminate
 from .editprint import op5_editprint
+from .linededup import SQL as LINE_SQL
+from .linededup import op7_line_dedup
 from .pii import op2_pii
 from .simhash import op9_simhash
 from .suffixdedup import op1_suffix_dedup
@@ -26,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_urlfilter": op4_urlfilter,
         "op5_editprint": op5_editprint,
         "op6_bpe": op6_bpe,
+        "op7_line_dedup": op7_line_dedup,
         "op8_wavelet": op8_wavelet,
         "op9_simhash": op9_simhash,
         "op10_decontaminate": op10_decontaminate,
@@ -33,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_urlfilter": URL_SQL}
+    return {"op4_urlfilter": URL_SQL, "op7_line_dedup": LINE_SQL}

@@ -65,18 +65,20 @@ def simhashes(texts: list[bytes], size: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id") -> DataFrame:
-    """`key` and fingerprint (long) of every row."""
+    """`key` and fingerprint (long) of every row, and all columns but the text that stand before them."""
     session(docs.sparkSession)
-    rows = docs.select(F.col(key).alias("doc_id"), utf8().alias("text"))
+    rest = [c for c in docs.columns if c not in (key, "text")]
+    rows = docs.select(*rest, F.col(key).alias("doc_id"), utf8().alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             done = [simhashes(texts[a:b], shingle) for a, b in slices(np.array([len(t) for t in texts], np.int64))]
             fp = np.concatenate(done).view(np.int64) if done else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp)], names=[*batch.schema.names[:-1], "fp"])
 
-    return rows.mapInArrow(work, "doc_id long, fp long")
+    schema = rows.drop("text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("fp", F.lit(0).cast("long")).schema
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(work, schema)
 
 
 def position_sets(most: int) -> list[tuple[int, ...]]:
@@ -100,12 +102,26 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
 
 
 def groups_of(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
-    """doc_id, fp, component_id of every row."""
+    """doc_id, fp, component_id of every row, and all other columns but the text."""
     fps = table(fingerprints(docs, shingle), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
     roots = components(links(nodes.filter("node is not null"), most).unionByName(same_rows(fps)), 60)
     found = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return fps.join(found, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(found, "fp")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
+    """One document of each group of near-duplicates, the one of the smallest doc_id, with its columns.
+
+    Rows of one doc_id are one document, of which the row with the least hash of its text stays. Rows without a doc_id
+    stay, equal texts once, unless a document with an id has their fingerprint.
+    """
+    id_, hashed = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64(utf8())
+    found = groups_of(docs.select("doc_id", hashed.alias("_hash"), "text"), shingle, most)
+    least = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.min("_hash").alias("_hash"))
+    loose = found.filter("component_id is null").select(F.lit(-(1 << 63)).alias("_id"), "_hash").distinct()
+    stays = table(least.unionByName(loose), "stays")
+    return docs.withColumns({"_id": id_, "_hash": hashed}).join(stays, ["_id", "_hash"]).dropDuplicates(["_id", "_hash"]).select(*docs.columns)
 
 
 def same_rows(fps: DataFrame) -> DataFrame:
