@@ -1 +1 @@
-
+"""DataFrame operators over messages, entities, edges and reports."""

@@ -1 +1 @@
-
+"""Registered queries, and the pipeline over all stages."""
