@@ -6,7 +6,7 @@ windows have it at the same offset, so windows meet in a bucket under the bytes
 them part, and the pieces renamed to symbols; a suffix array over the symbols of many buckets shows with its
 longest common prefixes which windows occur twice. Equal strings of a bucket are one class that stands for
 all its members, so that groups of copies neither fill a bucket nor a task; a bucket of more than BUCKET
-classes doesn't go to one task at all, but each of its windows is counted by its 128-bit hash.
+classes is cut by finer ranges of offsets, which share more, and at last each window is counted by its 128-bit hash.
 
 The suffix array is built in two phases: groups of suffixes, by first symbol, are taken in descending order, and
 the suffixes before them, found by pointers to the previous suffix of a lower group, move up into groups of their
@@ -21,10 +21,12 @@ an empty table gives an empty result; other columns don't matter, and are carrie
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ from .common import dropped, groups, session, slices, starts, table, utf8
 GRAM, PIECE = 32, 2 << 20
 #: Classes in a bucket that goes to a suffix array, and symbols in one array.
 BUCKET, SYMBOLS = 256, 200_000
+#: A larger bucket is cut in PARTS by ranges of offsets, up to LEVELS times.
+PARTS, LEVELS = 4, 2
 #: Texts that a task remembers, so as not to list a copy again.
 SEEN = 200_000
 
@@ -233,13 +237,16 @@ def members(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(work, "h1 long, h2 long, at long, cell byte, k1 long, k2 long, c long")
 
 
+_PIECES = ["k1", "k2", "c", "near", "far", "before", "after"]
+
+
 def pieces_of(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """k1, k2, c, cell, n, before, after: the bytes beside the core of each wanted class (of h1, h2, at, cell, k1, k2, c, n).
+    """k1, k2, c, near, far, before, after: the bytes beside the core of each wanted class (of h1, h2, at, cell, k1, k2, c).
 
     A row may come several times where a text does.
     """
     ranges = Cells(length).ranges
-    asked = table(wanted.groupBy("h1", "h2").agg(F.collect_list(F.struct("at", "cell", "k1", "k2", "c", "n")).alias("asked")), "asked")
+    asked = table(wanted.groupBy("h1", "h2").agg(F.collect_list(F.struct("at", "cell", "k1", "k2", "c")).alias("asked")), "asked")
     rows = texts.join(asked, ["h1", "h2"]).select("h1", "h2", "text", "asked")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,16 +259,15 @@ def pieces_of(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                 seen.add(h)
                 text, flat = t.as_py(), q.values
                 at, cell = flat.field("at").to_pylist(), flat.field("cell").to_pylist()
-                before, after = [], []
-                for g, x in zip(at, cell, strict=True):
-                    near, far = ranges[x]
+                before, after, bounds = [], [], [ranges[x] for x in cell]
+                for g, (near, far) in zip(at, bounds, strict=True):
                     before.append(text[max(0, g - far) : g - near])
                     after.append(text[g - far + length : g - near + length])
-                yield pa.RecordBatch.from_arrays([*(flat.field(x) for x in ("k1", "k2", "c", "cell", "n")), pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=["k1", "k2", "c", "cell", "n", "before", "after"])
+                yield pa.RecordBatch.from_arrays([*(flat.field(x) for x in ("k1", "k2", "c")), *(pa.array([x[i] for x in bounds], pa.int32()) for i in (0, 1)), pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=_PIECES)
             if len(seen) > SEEN:
                 seen.clear()
 
-    return rows.mapInArrow(work, "k1 long, k2 long, c long, cell byte, n long, before binary, after binary")
+    return rows.mapInArrow(work, "k1 long, k2 long, c long, near int, far int, before binary, after binary")
 
 
 def _common(rows: list[bytes]) -> tuple[list[int], list[int]]:
@@ -340,7 +346,6 @@ def repeated_runs(symbols: np.ndarray, sizes: np.ndarray, length: int) -> tuple[
 
 def search(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """k1, k2, c, from, to: what is repeated of each class, relative to its minimizer."""
-    ranges = Cells(length).ranges
     held: list[tuple[int, int, int, int, int]] = []  # k1, k2, c, where it begins relative to the minimizer, first symbol
     names: list[int] = []
     sizes: list[int] = []
@@ -361,16 +366,16 @@ def search(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         t = t.filter(pa.array(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))))  # each class once
         keys = np.stack([t.column(x).to_numpy() for x in ("k1", "k2")], axis=1)
         edge = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]))
-        c, cell = t.column("c").to_numpy(), t.column("cell").to_numpy()
+        c, bounds = t.column("c").to_numpy(), [t.column(x).to_numpy() for x in ("near", "far")]
         before, after = t.column("before").to_pylist(), t.column("after").to_pylist()
         for lo, hi in zip(edge.tolist(), edge[1:].tolist(), strict=False):
             if hi - lo < 2:
                 continue
-            near, far = ranges[cell[lo]]
+            near, far = (int(x[lo]) for x in bounds)
             table_: dict = {}
             base = fresh
             for i, a, symbols, lengths in bucket_symbols(before[lo:hi], after[lo:hi], length - far + near, length):
-                held.append((int(keys[lo, 0]), int(keys[lo, 1]), int(c[lo + i]), -int(near) - a, len(names)))
+                held.append((int(keys[lo, 0]), int(keys[lo, 1]), int(c[lo + i]), -near - a, len(names)))
                 for s in symbols:
                     names.append(table_.setdefault(s, base + len(table_)))
                 sizes.extend(lengths)
@@ -386,16 +391,15 @@ def search(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
 
 def hashed_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """k1, k2, c, from, w1, w2: every window of each row, for a bucket of any size."""
-    ranges = Cells(length).ranges
     for batch in batches:
         for rows in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-            k1, k2, c, cell = (rows.column(x).to_numpy() for x in ("k1", "k2", "c", "cell"))
+            k1, k2, c, near, far = (rows.column(x).to_numpy() for x in ("k1", "k2", "c", "near", "far"))
             before, after = rows.column("before").to_pylist(), rows.column("after").to_pylist()
             b = np.frombuffer(b"".join(x for pair in zip(before, after, strict=True) for x in pair), np.uint8)
             sums = _sums(b)
             n = np.array([len(x) for x in before]), np.array([len(x) for x in after])
             at = np.cumsum(n[0] + n[1]) - n[0] - n[1]
-            core = np.array([length - far + near for near, far in ranges])[cell]
+            core = length - far.astype(np.int64) + near
             least, most = np.maximum(0, length - core - n[1]), np.minimum(n[0], length - core)  # bytes of a window before the core
             count = np.maximum(0, most - least + 1)
             own = np.repeat(np.arange(len(k1)), count)
@@ -404,8 +408,68 @@ def hashed_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
             # the core is between both parts and equal for equal keys, so that a window is its key and one range
             a, z = mid - left, mid + (length - core)[own] - left
             w = [_mixed(k[own], left, _hash(sums, a, z, i)) for i, k in enumerate((k1, k2))]
-            near = np.array([x for x, _ in ranges])[cell][own]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[own]) for x in (k1, k2, c)), pa.array(-near - left), *map(pa.array, w)], names=["k1", "k2", "c", "from", "w1", "w2"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[own]) for x in (k1, k2, c)), pa.array(-near.astype(np.int64)[own] - left), *map(pa.array, w)], names=["k1", "k2", "c", "from", "w1", "w2"])
+
+
+def finer(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Each row's range of offsets cut in `parts`, whose windows share a longer core: k1, k2, c, near, far, before, after under new hashes, with o1, o2, oc of the row."""
+
+    def longs(digest: bytes) -> tuple[int, int]:
+        return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+    for batch in batches:
+        out: list[tuple] = []
+        for k1, k2, c, near, far, before, after in zip(*(batch.column(x).to_pylist() for x in _PIECES), strict=True):
+            width = far - near + 1
+            for i in range(parts):
+                lo, hi = near + i * width // parts, near + (i + 1) * width // parts - 1
+                left, right = lo - near, far - hi  # what the core gains on either side
+                if hi < lo or left > len(before) or right > len(after):
+                    continue
+                cut = len(before) - left
+                own = struct.pack("<qqii", k1, k2, lo, hi)
+                j1, j2 = longs(xxhash.xxh3_128_digest(own + before[cut:] + b"|" + after[:right]))
+                x, y = before[max(0, cut - (hi - lo)) : cut], after[right : right + hi - lo]
+                d, _ = longs(xxhash.xxh3_128_digest(struct.pack("<i", len(x)) + x + y))
+                out.append((j1, j2, d, lo, hi, x, y, k1, k2, c))
+        types = [*[pa.int64()] * 3, *[pa.int32()] * 2, *[pa.binary()] * 2, *[pa.int64()] * 3]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[*_PIECES, "o1", "o2", "oc"])
+
+
+def twice(rows: DataFrame, by: list[str], of) -> DataFrame:
+    """The values of `by` that have two or more of `of`."""
+    return rows.groupBy(*by).agg(F.min(of).alias("_lo"), F.max(of).alias("_hi")).filter("_lo <> _hi").drop("_lo", "_hi")
+
+
+def repeated_parts(rows: DataFrame, length: int, level: int = 0) -> DataFrame:
+    """k1, k2, c, from, to of what is repeated among the classes of each bucket (rows as of `pieces_of`).
+
+    Buckets of up to BUCKET classes go to suffix arrays. In larger ones the range is cut in finer ones, of which equal rows are
+    one class, up to LEVELS times; what is still larger then has its windows counted one by one.
+    """
+    key = ["k1", "k2"]
+    sizes = table(rows.select(*key, "c").distinct().groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET), "hot-buckets")
+    any_hot = not sizes.isEmpty()
+    cold = rows.join(sizes, key, "left_anti") if any_hot else rows
+    cold = cold.select(*_PIECES).repartition("k1").sortWithinPartitions("k1", "k2", "c")
+    found = cold.mapInArrow(lambda it: search(it, length), "k1 long, k2 long, c long, `from` long, `to` long")
+    if not any_hot:
+        return found
+    hot = rows.join(sizes.select(*key), key).select(*_PIECES)
+    if level == LEVELS:
+        windows = table(hot.mapInArrow(lambda it: hashed_windows(it, length), "k1 long, k2 long, c long, `from` long, w1 long, w2 long"), "windows")
+        counted = windows.join(table(twice(windows, ["w1", "w2"], F.xxhash64("c", "from")), "repeated-windows"), ["w1", "w2"])
+        return found.unionByName(counted.select(*key, "c", "from", (F.col("from") + length).alias("to")))
+    fine = table(hot.mapInArrow(lambda it: finer(it, PARTS), "k1 long, k2 long, c long, near int, far int, before binary, after binary, o1 long, o2 long, oc long"), "finer")
+    one = F.min(F.struct("near", "far", "before", "after")).alias("one")
+    classes = fine.groupBy(*key, "c").agg(one, (F.min("oc") != F.max("oc")).alias("known"))
+    classes = table(classes.select(*key, "c", "one.*", "known"), "finer-classes")
+    several = table(classes.groupBy(*key).agg(F.count("*").alias("n"), F.min("known").alias("all")).filter("n > 1 and not all").select(*key), "several")
+    more = repeated_parts(classes.join(several, key), length, level + 1)
+    known = classes.filter("known").select(*key, "c", (-F.col("far")).cast("long").alias("from"), (length - F.col("near")).cast("long").alias("to"))
+    parts = table(more.unionByName(known), "finer-found")
+    back = fine.select(*key, "c", "o1", "o2", "oc").join(parts, [*key, "c"])
+    return found.unionByName(back.select(F.col("o1").alias("k1"), F.col("o2").alias("k2"), F.col("oc").alias("c"), "from", "to"))
 
 
 def repeats(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -419,10 +483,6 @@ def repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     key, text = ["k1", "k2"], ["h1", "h2"]
     long = docs.filter(F.length("text") >= length)
     place = F.xxhash64("h1", "h2", "at")
-
-    def twice(rows: DataFrame, by: list[str], of) -> DataFrame:
-        return rows.groupBy(*by).agg(F.min(of).alias("_lo"), F.max(of).alias("_hi")).filter("_lo <> _hi").drop("_lo", "_hi")
-
     every = table(members(long, length), "cells")
     cores = table(twice(every, key, place), "cores")
     own = table(every.join(cores, key), "repeated-cells")
@@ -431,24 +491,17 @@ def repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     classes = own.groupBy(*key, "c").agg(one, (F.min(place) != F.max(place)).alias("known"))
     classes = table(classes.select(*key, "c", "one.*", "known"), "classes")
     several = classes.groupBy(*key).agg(F.count("*").alias("n"), F.min("known").alias("all")).filter("n > 1 and not all")
-    several = table(several.drop("all"), "several")
+    several = table(several.select(*key), "several")
     asked = table(pieces_of(classes.join(several, key).drop("known"), long, length), "pieces")
     dropped(several)
-    out = "k1 long, k2 long, c long, `from` long, `to` long"
-    cold = asked.filter(F.col("n") <= BUCKET).drop("n").repartition("k1").sortWithinPartitions("k1", "k2", "c")
-    found = cold.mapInArrow(lambda it: search(it, length), out)
-    hot = asked.filter(F.col("n") > BUCKET).drop("n").mapInArrow(lambda it: hashed_windows(it, length), "k1 long, k2 long, c long, `from` long, w1 long, w2 long")
-    hot = table(hot, "windows")
-    counted = hot.join(table(twice(hot, ["w1", "w2"], F.xxhash64("c", "from")), "repeated-windows"), ["w1", "w2"])
-    found = found.unionByName(counted.select(*key, "c", "from", (F.col("from") + length).alias("to")))
     # the places of a class that is known to repeat are covered from the first byte of its content to the last
     ranges = Cells(length).ranges
     near, far = (F.element_at(F.array(*[F.lit(x[i]) for x in ranges]), F.col("cell") + 1) for i in (0, 1))
     known = classes.filter("known").select(*key, "c", (-far).cast("long").alias("from"), (length - near).cast("long").alias("to"))
-    part = found.unionByName(known).groupBy(*key, "c").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("s"))
+    part = repeated_parts(asked, length).unionByName(known).groupBy(*key, "c").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("s"))
     joined = F.aggregate("s", F.array().cast("array<struct<from:bigint,to:bigint>>"), _join)  # of one cell: a few hundred at most
     part = table(part.select(*key, "c", F.explode(joined).alias("s")), "found")
-    dropped(asked, hot, classes)
+    dropped(asked, classes)
     here = F.struct((F.col("at") + F.col("s.from")).alias("from"), (F.col("at") + F.col("s.to")).alias("to"))
     spans = own.join(part, [*key, "c"]).select(*text, here.alias("s")).groupBy(*text).agg(F.collect_set("s").alias("s"))
     copies = long.groupBy(*text).agg(F.count("*").alias("n"), F.min(F.length("text")).cast("long").alias("to")).filter("n > 1")
