@@ -39,6 +39,8 @@ BLOCK, FILE_IDS = 1 << 14, 6_000_000
 #: Words that a worker keeps the ids of, in two generations.
 WORDS = 500_000
 NULL = -(1 << 63)
+#: Marks words that the library gets as they are; no text holds it.
+_WHOLE = "\ud800"
 
 
 class Matrix:
@@ -198,7 +200,7 @@ class Words:
             if _latin(w):
                 out += self.split(w.lower())
             else:
-                out.append("\0" + w)
+                out.append(_WHOLE + w)
         return out
 
     def _learn(self, new: list[str]) -> None:
@@ -214,7 +216,7 @@ class Words:
                     begin = to
         for x in new:
             if x not in self.table:
-                self.table[x] = np.array(self.tokenizer.encode(x.removeprefix("\0"), add_special_tokens=False).ids, "<u2").tobytes()
+                self.table[x] = np.array(self.tokenizer.encode(x.removeprefix(_WHOLE), add_special_tokens=False).ids, "<u2").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.table) > WORDS:
