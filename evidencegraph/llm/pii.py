@@ -33,16 +33,16 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Generators: kind, pattern, and a cheaper pattern without which it can't match.
 NUMBER = r"(?<![0-9A-Za-z.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-]|00[0-9]{1,3}[ .-])[0-9][0-9 .-]{4,18}[0-9](?![0-9A-Za-z])"
 SPELLED = rf"(?<!{_LOCAL}){_LOCAL}++ ?[(\[{{](?:at|AT)[)\]}}] ?[A-Za-z0-9-]++(?: ?(?:[(\[{{](?:dot|DOT)[)\]}}]|\.) ?[A-Za-z0-9-]++)++"
-CREDENTIAL = r"(?<![A-Za-z0-9])(?:(?:password|passwd|pwd|token|secret|api_key|apikey) ?[=:] ?\"?[A-Za-z0-9+/_-]{6,}\"?|AKIA[0-9A-Z]{16})(?![A-Za-z0-9])"
+CREDENTIAL = r"(?<![A-Za-z0-9])(?:(?i:password|passwd|pwd|token|secret|api_key|apikey) ?[=:] ?\"?[A-Za-z0-9+/_-]{6,}\"?|AKIA[0-9A-Z]{16})(?![A-Za-z0-9])"
 GENERATORS = (
     ("phone", NUMBER, r"[0-9)][ .-]?[0-9]{3}[ .-][0-9]"),
     ("email", SPELLED, r"[(\[{](?:at|AT)[)\]}]"),
-    ("secret", CREDENTIAL, r"(?:password|passwd|pwd|token|secret|api_key|apikey) ?[=:]|AKIA[0-9A-Z]{16}"),
+    ("secret", CREDENTIAL, r"(?i:password|passwd|pwd|token|secret|api_key|apikey) ?[=:]|AKIA[0-9A-Z]{16}"),
 )
 CONTEXT = 24
 #: Generated examples that the trees learn from.
 EXAMPLES = 4000
-FEATURES = ("length", "digits", "signs", "letters", "upper", "groups", "paren", "quote", "luhn", "phone_word", "mail_word", "count_word", "joined")
+FEATURES = ("length", "digits", "signs", "letters", "upper", "groups", "paren", "quote", "luhn", "phone_word", "mail_word", "count_word", "joined", "tail", "breaks", "phone", "email", "secret")
 
 
 def digits_of(m: Column) -> Column:
@@ -89,8 +89,8 @@ _MAIL_WORD = "(?:mail|contact|write|address)"
 _COUNT_WORD = "(?:order|invoice|no|id|isbn|page|version|serial|item|art|ref|nr)[.:# ]*$"
 
 
-def features(m: Column, before: Column) -> dict[str, Column]:
-    """Numbers that describe a candidate and the CONTEXT characters before it."""
+def features(m: Column, before: Column, kind: str) -> dict[str, Column]:
+    """Numbers that describe a candidate of a generator and the CONTEXT characters before it."""
     number = lambda c: F.coalesce(c.cast("int"), F.lit(0))
     low = F.lower(before)
     return {
@@ -107,10 +107,13 @@ def features(m: Column, before: Column) -> dict[str, Column]:
         "mail_word": number(F.rlike(low, F.lit(_MAIL_WORD))),
         "count_word": number(F.rlike(low, F.lit(_COUNT_WORD))),
         "joined": number(F.rlike(before, F.lit("[A-Za-z0-9_]$"))),
+        "tail": F.length(F.regexp_extract(m, "([A-Za-z0-9]+)[^A-Za-z0-9]*$", 1)),
+        "breaks": F.length(m) - F.length(F.regexp_replace(m, r"\. ", " ")),
+        **{k: F.lit(int(k == kind)) for k in ("phone", "email", "secret")},
     }
 
 
-def features_of(m: str, before: str) -> list[float]:
+def features_of(m: str, before: str, kind: str) -> list[float]:
     """The same numbers of an example, for training."""
     digits = re.sub("[^0-9]", "", m)
     total = sum(int(c) if i % 2 == 0 else 2 * int(c) - 9 * (int(c) > 4) for i, c in enumerate(reversed(digits)))
@@ -129,6 +132,9 @@ def features_of(m: str, before: str) -> list[float]:
         "mail_word": bool(re.search(_MAIL_WORD, low)),
         "count_word": bool(re.search(_COUNT_WORD, low)),
         "joined": bool(re.search("[A-Za-z0-9_]$", before)),
+        "tail": len(x.group(1)) if (x := re.search("([A-Za-z0-9]+)[^A-Za-z0-9]*$", m)) else 0,
+        "breaks": m.count(". "),
+        **{k: k == kind for k in ("phone", "email", "secret")},
     }
     return [float(values[f]) for f in FEATURES]
 
@@ -151,18 +157,20 @@ def examples(n: int = EXAMPLES, seed: int = 11) -> tuple[list[str], np.ndarray,
             m = r.choice((f"{d(3)}.{d(2)}", f"{d(3)} {d(3)} {d(1)}", f"{d(3)}-{d(5)}-{d(1)}", f"{d(3)} {d(2)} {d(2)} {d(2)} {d(2)} {d(4)} {d(3)}", f"{d(3)}-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(3)}.{d(3)}.{d(3)}", f"{d(3)} {d(9)} {d(4)}"))
             before += r.choice(("", "", "order ", "isbn ", "id ", "page ", "ref: "))
         elif kind == "email" and good:
-            m = f"{w(2, 9)}.{w(2, 9)} {r.choice(('(at)', '[at]', '{at}'))} {w(3, 9)}{r.choice((' [dot] ', ' (dot) ', '.'))}{r.choice(('com', 'org', 'net', 'de'))}"
+            m = f"{r.choice((w(2, 9) + '.', w(1, 4) + d(2), ''))}{w(2, 9)} {r.choice(('(at)', '[at]', '{at}'))} {w(3, 9)}{r.choice((' [dot] ', ' (dot) ', '.'))}{r.choice(('com', 'org', 'net', 'de', 'info'))}"
             before += r.choice(("", "mail: ", "contact ", "write to "))
         elif kind == "email":
             m = f"{w(1, 9)} {r.choice(('(at)', '[at]'))} {w(1, 9)}. {w(5, 12)}"
         elif good:
-            m = r.choice((f"password={w(2, 6)}{d(6)}{w(2, 6)}", f'token = "{w(3, 9)}{d(9)}{w(3, 9)}{d(9)}"', f"AKIA{d(8)}{w(8, 8).upper()}", f"api_key: {w(6, 9)}{d(8)}"))
+            code = "".join(r.choice(r.choice(("0123456789abcdef", "ABCDEFGHJKLMNPQRSTUVWXYZ23456789", "abcdefghijklmnopqrstuvwxyz0123456789+/"))) for _ in range(r.choice((16, 20, 24, 32, 40, 64)))) + d(1)
+            key = r.choice(("token", "secret", "api_key", "apikey", "TOKEN", "Secret"))
+            m = r.choice((f"{r.choice(('password', 'pwd', 'passwd'))}{r.choice(('=', ': ', ' = '))}{w(3, 8)}{d(r.randint(1, 4))}", f'{key} = "{code}"', f"{key}={code}", f"{key}: {code}", f"AKIA{d(8)}{w(8, 8).upper()}"))
         else:
-            m = r.choice((f"token: {w(6, 12)}", f"secret = {w(6, 12)}", f"password: {w(6, 10)}", f"token = {w(6, 8)}"))
+            m = r.choice((f"token: {w(6, 12)}", f"secret = {w(6, 12)}", f"password: {w(6, 10)}", f"token = {w(6, 8)}", f'Secret: "{w(6, 12)}"', f"TOKEN: {w(6, 14).upper()}", f"secret: {w(6, 14)}-{w(2, 8)}"))
         if kind == "phone" and not good and len(re.sub("[^0-9]", "", m)) == 10 and re.fullmatch(r"[0-9]{3}.[0-9]{3}.[0-9]{4}", m):
             continue
         kinds.append(kind)
-        x.append(features_of(m, before[-CONTEXT:]))
+        x.append(features_of(m, before[-CONTEXT:], kind))
         y.append(float(good))
     return kinds, np.array(x), np.array(y)
 
@@ -235,7 +243,7 @@ def added_spans(text: Column, base: Column) -> Column:
 
         def accepted(c: Column) -> Column:
             begin = F.greatest(F.lit(0), c["start"] - CONTEXT)
-            by_name = features(c["match"], F.substring(text, begin + 1, c["start"] - begin))
+            by_name = features(c["match"], F.substring(text, begin + 1, c["start"] - begin), kind)
             # features once for each candidate, then the trees over their values
             values = F.struct(*[v.cast("double").alias(k) for k, v in by_name.items()])
             scores = F.transform(F.array(values), lambda v: sum((compiled(t, {f: v[f] for f in FEATURES}) for t in trees[1:]), compiled(trees[0], {f: v[f] for f in FEATURES})))
