@@ -65,9 +65,9 @@ def simhashes(texts: list[bytes], size: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id") -> DataFrame:
-    """`key` and fingerprint (long) of every row, and all columns but the text that stand before them."""
+    """doc_id (`key`) and fp, the fingerprint (long), of every row, with `_hash` where there is one."""
     session(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in (key, "text")]
+    rest = [c for c in docs.columns if c == "_hash"]
     rows = docs.select(*rest, F.col(key).alias("doc_id"), utf8().alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +102,7 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
 
 
 def groups_of(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
-    """doc_id, fp, component_id of every row, and all other columns but the text."""
+    """doc_id, fp, component_id of every row, with `_hash` where there is one."""
     fps = table(fingerprints(docs, shingle), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
     roots = components(links(nodes.filter("node is not null"), most).unionByName(same_rows(fps)), 60)
@@ -134,7 +134,7 @@ def same_rows(fps: DataFrame) -> DataFrame:
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return groups_of(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
