@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import session
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: States and pieces that a worker keeps; beyond that it starts anew.
-STATES, PIECES, PIECE_CHARS = 250_000, 250_000, 48
+#: States, pieces and pairs of tokens that a worker keeps; beyond that it starts anew.
+STATES, PIECES, NEIGHBOURS, PIECE_CHARS = 200_000, 100_000, 300_000, 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -52,7 +52,8 @@ class Transducer:
     def _reset(self) -> None:
         self.number: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # state * 256 + byte: next state * 256, what is emitted
+        self.silent: dict[int, int] = {}  # state * 256 + byte: next state * 256
+        self.loud: dict[int, tuple[int, tuple[int, ...]]] = {}  # the same with what is emitted, where anything is
         self._state(b"", ((0, -1, ()),))
 
     def _state(self, pending: bytes, alive: tuple) -> int:
@@ -74,7 +75,7 @@ class Transducer:
 
     def _fits(self, left: int, right: int) -> bool:
         if (ok := self.beside.get((left, right))) is None:
-            if len(self.beside) > 1_000_000:
+            if len(self.beside) > NEIGHBOURS:
                 self.beside.clear()
             text = self.tokens[right]
             want = [right]
@@ -94,18 +95,22 @@ class Transducer:
             done -= 1
         cut = now[0][0]
         to = self._state(pending[cut:], tuple((at - cut, last, chain[done:]) for at, last, chain in now))
-        move = self.moves[at_byte] = to << 8, first[:done]
-        return move
+        if done:
+            self.loud[at_byte] = to << 8, first[:done]
+        else:
+            self.silent[at_byte] = to << 8
+        return to << 8, first[:done]
 
     def encode(self, piece: bytes) -> list[int]:
         if len(self.states) > STATES:
             self._reset()
         out: list[int] = []
-        state, get = 0, self.moves.get
+        state, silent = 0, self.silent.get
         for byte in piece:
-            state, emitted = get(state | byte) or self._move(state | byte)
-            if emitted:
+            if (to := silent(state | byte)) is None:
+                to, emitted = self.loud.get(state | byte) or self._move(state | byte)
                 out += emitted
+            state = to
         out += self.states[state >> 8][1][-1][2]
         return out
 

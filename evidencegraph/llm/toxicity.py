@@ -38,7 +38,7 @@ _SPLIT = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 9
 class Terms(dict):
     """Word to its hashed terms: itself, and its beginnings of 4, 5 and 6 characters."""
 
-    most = 300_000
+    most = 100_000
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         text = word.decode("utf-8", "replace")
