@@ -289,3 +289,21 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str |
                     names |= got
         out.append((doc, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
     return out
+
+
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SPLIT = rf"regexp_extract_all(translate(coalesce(text, ''), '{_AZ}', '{_AZ.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = rf"""
+with d as (select row_number() over () as r, doc_id, {_SPLIT} as w from documents),
+items as (select distinct item_id::varchar as item, {_SPLIT} as w from benchmark where item_id is not null),
+wins as (
+  select distinct item, size, array_to_string(w[i:i + size - 1], ' ') as k
+  from (select item, w, least(len(w), 10) as size, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as i from items where len(w) > 0)
+), sizes as (select distinct size from wins),
+places as (select r, size, i, array_to_string(w[i:i + size - 1], ' ') as k from (select r, w, size, unnest(range(1, len(w) - size + 2)) as i from d, sizes where len(w) >= size)),
+found as (select p.r, p.i, p.size, v.item from places p join wins v on p.size = v.size and p.k = v.k),
+hit as (select r, count(distinct j) as n_hit from (select distinct r, unnest(range(i, i + size)) as j from found) group by r),
+named as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item from found) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+from d left join hit using (r) left join named using (r)
+"""

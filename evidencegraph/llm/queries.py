@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_bpe
+from .decontaminate import SQL as TEST_SQL
 from .decontaminate import op10_decontaminate
 from .editprint import op5_editprint
 from .linededup import SQL as LINE_SQL
@@ -36,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_urlfilter": URL_SQL, "op7_line_dedup": LINE_SQL}
+    return {"op4_urlfilter": URL_SQL, "op7_line_dedup": LINE_SQL, "op10_decontaminate": TEST_SQL}
