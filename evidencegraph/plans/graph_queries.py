@@ -77,11 +77,12 @@ def registry_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _persons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as mentions: thirds share a phone, some names differ by an edit."""
-    c, k = table(spark, sf_dir, "customer").filter("c_nationkey < 3"), F.col("c_custkey")
+    """Customers as mentions: three share a name of letters, one of them with an edit; thirds share a phone."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    name = F.translate(F.md5(F.floor(k / 3).cast("string")), "0123456789", "ghijklmnop")
     return c.select(
         k.alias("seq"),
-        F.when(k % 5 == 0, F.concat("c_name", F.lit("a"))).otherwise(F.col("c_name")).alias("name"),
+        F.when(k % 3 == 1, F.concat(name, F.lit("x"))).otherwise(name).alias("name"),
         F.when(k % 3 == 0, (13900000000 + F.floor(k / 30)).cast("string")).alias("phone"),
         F.when(k % 7 == 0, F.concat(F.lit("acct"), F.floor(k / 70).cast("string"))).alias("account"),
         F.col("c_mktsegment").alias("source"),
@@ -96,7 +97,7 @@ def resolve_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "resolve_as_set",
-    """with recursive p as (select c_custkey as seq, case when c_custkey % 3 = 0 then c_custkey // 30 end as phone, case when c_custkey % 7 = 0 then c_custkey // 70 end as account from customer where c_nationkey < 3),
+    """with recursive p as (select c_custkey as seq, case when c_custkey % 3 = 0 then c_custkey // 30 end as phone, case when c_custkey % 7 = 0 then c_custkey // 70 end as account from customer),
 e as (select a.seq as a, b.seq as b from p a join p b on a.phone = b.phone or a.account = b.account), r(seq, entity) as (select seq, seq from p union select e.b, r.entity from r join e on e.a = r.seq)
 select seq, min(entity) as entity from r group by seq""",
 )
@@ -244,13 +245,12 @@ def multimodal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "shared_source_edges",
-    """with s as (select distinct l_suppkey as e, l_returnflag || l_linestatus || (l_partkey % 7) as s from lineitem where l_suppkey % 5 = 0)
+    """with s as (select distinct l_suppkey as e, l_orderkey as s from lineitem)
 select a.e as source, b.e as target, count(*)::double as weight from s a join s b on a.s = b.s and a.e < b.e group by 1, 2""",
 )
 def shared_source_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter("l_suppkey % 5 = 0")
-    s = F.concat("l_returnflag", "l_linestatus", (F.col("l_partkey") % 7).cast("string"))
-    return graph.shared_source_edges(li.groupBy(F.col("l_suppkey").alias("entity_id")).agg(F.collect_set(s).alias("sources"))).drop("relation")
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("entity_id")).agg(F.collect_set("l_orderkey").alias("sources"))
+    return graph.shared_source_edges(li).drop("relation")
 
 
 @query(
@@ -337,9 +337,9 @@ def timeline_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.coverage(graph.timeline(_dated(spark, sf_dir)))
 
 
-@query("timeline_extended", f"select ts, entity_id, seq, event_type from ({_TIMELINE}) union all select o_orderdate, o_custkey, o_orderkey, 'external_activity' from orders where o_orderkey % 10 = 0")
+@query("timeline_extended", f"select ts, entity_id, seq, event_type from ({_TIMELINE}) union all select o_orderdate, o_custkey, o_orderkey, 'external_activity' from orders")
 def timeline_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0")
+    o = table(spark, sf_dir, "orders")
     external = o.select(F.col("o_orderdate").alias("ts"), F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("seq"), F.lit("external_activity").alias("event_type"))
     return graph.extended_timeline(graph.timeline(_dated(spark, sf_dir)), external).select("ts", "entity_id", "seq", "event_type")
 
@@ -348,12 +348,12 @@ def timeline_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
     "temporal_context",
     """with t as (select user_id as node, min(ts) as ts from events group by 1), c as (select min(node) as node from t)
 select t.node, round(abs(epoch_us(t.ts) - epoch_us(o.ts)) / 3.6e9::double, 6) as hours, 1.0::double as weight from t, c join t o on o.node = c.node
-where t.node <> c.node and t.node % 2 = 0 and abs(epoch_us(t.ts) - epoch_us(o.ts)) <= 86400000000""",
+where t.node <> c.node and abs(epoch_us(t.ts) - epoch_us(o.ts)) <= 86400000000""",
 )
 def temporal_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("node")).agg(F.min("ts").alias("ts"))
     first = t.agg(F.min("node")).first()[0]
-    edges = t.filter((F.col("node") % 2 == 0) & (F.col("node") != first)).select(F.lit(first).cast("long").alias("source"), F.col("node").alias("target"), F.lit(1.0).alias("weight"))
+    edges = t.filter(F.col("node") != first).select(F.lit(first).cast("long").alias("source"), F.col("node").alias("target"), F.lit(1.0).alias("weight"))
     return graph.temporal_context(edges, t, F.lit(first).cast("long")).withColumn("hours", F.round("hours", 6))
 
 

@@ -158,11 +158,11 @@ def type_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.substring("text", 1, 20).alias("input"), F.col("source").alias("output"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("input"), F.col("source").alias("output"))
     return d.select(F.col("lang").alias("task_type"), "input", "output", ((F.col("doc_id") % 100) / 100.0).alias("confidence"), F.col("doc_id").alias("seq"), (F.col("doc_id") % 3 != 0).alias("success"), F.concat(F.lit("E"), (F.col("doc_id") % 5).cast("string")).alias("error_type"))
 
 
-_CASES = "(select lang as task_type, substr(text, 1, 20) as input, source as output, (doc_id % 100) / 100.0::double as confidence, doc_id as seq, doc_id % 3 <> 0 as success, 'E' || doc_id % 5 as error_type from documents)"
+_CASES = "(select lang as task_type, text as input, source as output, (doc_id % 100) / 100.0::double as confidence, doc_id as seq, doc_id % 3 <> 0 as success, 'E' || doc_id % 5 as error_type from documents)"
 _RANKED = "row_number() over (partition by task_type order by {0}confidence desc, seq) as rank"
 
 
@@ -171,7 +171,7 @@ def fewshot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.best_cases(_cases(spark, sf_dir)).select("task_type", "seq", "confidence", F.col("rank").cast("long").alias("rank"))
 
 
-_STORE = f"(select * from {_CASES} where seq % 50 = 7)"
+_STORE = f"(select * from {_CASES} where confidence >= 0.98)"
 
 
 @query(
@@ -183,19 +183,19 @@ select task_type, seq, confidence, rank from (select *, {_RANKED.format('')} fro
 )
 def example_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _cases(spark, sf_dir)
-    return context.refreshed(c.filter("seq % 50 = 7"), c).select("task_type", "seq", "confidence", F.col("rank").cast("long").alias("rank"))
+    return context.refreshed(c.filter("confidence >= 0.98"), c).select("task_type", "seq", "confidence", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
     "example_fetch",
     f"""with h as (select * from (select *, {_RANKED.format('')} from {_CASES} where confidence >= 0.8) where rank <= 5),
-both_ as (select task_type, seq, confidence, 0 as origin from {_STORE} where seq % 100 = 7 union all select task_type, seq, confidence, 1 from h)
+both_ as (select task_type, seq, confidence, 0 as origin from {_STORE} union all select task_type, seq, confidence, 1 from h)
 select task_type, seq, rank from (select *, {_RANKED.format('origin, ')} from both_) where rank <= 5""",
 )
 def example_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP-5."""
     c = _cases(spark, sf_dir)
-    return context.examples(c.filter("seq % 100 = 7"), c).select("task_type", "seq", F.col("rank").cast("long").alias("rank"))
+    return context.examples(c.filter("confidence >= 0.98"), c).select("task_type", "seq", F.col("rank").cast("long").alias("rank"))
 
 
 @query(

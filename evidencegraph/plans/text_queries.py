@@ -136,8 +136,8 @@ def normalize_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_PAIRS = """(select item_id, a as reference, coalesce(b, '') as hypothesis from (select item_id, substr(text, 1, 200) as a,
-substr(lead(text) over (order by item_id), 1, 200) as b from (select item_id, regexp_replace(text, '[^ -~]', '', 'g') as text from benchmark)))"""
+_PAIRS = """(select item_id, a as reference, coalesce(b, '') as hypothesis from (select item_id, text as a,
+lead(text) over (order by item_id) as b from (select item_id, regexp_replace(text, '[^ -~]', '', 'g') as text from benchmark)))"""
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +145,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     b = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("text"))
     nxt = F.lead("text").over(Window.orderBy("item_id"))  # the benchmark is small and of fixed size
-    return b.select("item_id", F.substring("text", 1, 200).alias("reference"), F.coalesce(F.substring(nxt, 1, 200), F.lit("")).alias("hypothesis"))
+    return b.select("item_id", F.col("text").alias("reference"), F.coalesce(nxt, F.lit("")).alias("hypothesis"))
 
 
 @query("cer_samples", f"select item_id, round(case when reference = '' then case when hypothesis = '' then 0.0 else 1.0 end else levenshtein(reference, hypothesis) / length(reference)::double end, 6) as cer from {_PAIRS}")
@@ -153,34 +153,29 @@ def cer_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("item_id", F.round(S.error_rate(F.col("reference"), F.col("hypothesis")), 6).alias("cer"))
 
 
-_WORDS = f"""(select item_id, list_filter(string_split(reference, ' '), lambda x: x <> '')[1:30] as r, list_filter(string_split(hypothesis, ' '), lambda x: x <> '')[1:30] as h from {_PAIRS})"""
-_CODED = f"""(select item_id, len(r) as n, len(h) as m, array_to_string(list_transform(r, lambda x: chr(48 + list_position(k, x)::int)), '') as a,
-array_to_string(list_transform(h, lambda x: chr(48 + list_position(k, x)::int)), '') as b from (select *, list_distinct(list_concat(r, h)) as k from {_WORDS}))"""
-
-
-def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = lambda c: F.array_join(F.slice(S.tokens(F.col(c)), 1, 30), " ").alias(c)
-    return _pairs(spark, sf_dir).select("item_id", cut("reference"), cut("hypothesis"))
+_WORDS = f"""(select item_id, list_filter(string_split(reference, ' '), lambda x: x <> '') as r, list_filter(string_split(hypothesis, ' '), lambda x: x <> '') as h from {_PAIRS})"""
+_CODED = f"""(select item_id, len(r) as n, len(h) as m, array_to_string(list_transform(r, lambda x: chr(list_position(k, x)::int)), '') as a,
+array_to_string(list_transform(h, lambda x: chr(list_position(k, x)::int)), '') as b from (select *, list_distinct(list_concat(r, h)) as k from {_WORDS}))"""
 
 
 @query("wer_samples", f"select item_id, round(case when n = 0 then case when m = 0 then 0.0 else 1.0 end else levenshtein(a, b) / n::double end, 6) as wer from {_CODED}")
 def wer_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _words(spark, sf_dir).select("item_id", F.round(S.word_error_rate(F.col("reference"), F.col("hypothesis")), 6).alias("wer"))
+    return _pairs(spark, sf_dir).select("item_id", F.round(S.word_error_rate(F.col("reference"), F.col("hypothesis")), 6).alias("wer"))
 
 
 @query("asr_metrics")
 def asr_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-14."""
-    return metrics.error_rates(_words(spark, sf_dir))
+    return metrics.error_rates(_pairs(spark, sf_dir))
 
 
-_NAMES = "(select s_suppkey, c_custkey, lower(s_name) as a, lower(c_name) as b from supplier join customer on s_nationkey = c_nationkey and c_custkey % 10 = s_suppkey % 10)"
+_NAMES = "(select s_suppkey, c_custkey, lower(s_name) as a, lower(c_name) as b from supplier join customer on s_nationkey = c_nationkey)"
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n"), (F.col("s_suppkey") % 10).alias("k"), F.lower("s_name").alias("a"))
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n"), (F.col("c_custkey") % 10).alias("k"), F.lower("c_name").alias("b"))
-    return s.join(c, ["n", "k"])
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n"), F.lower("s_name").alias("a"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n"), F.lower("c_name").alias("b"))
+    return s.join(c, "n")
 
 
 @query(
@@ -338,12 +333,10 @@ _BANDS = "case when n = 0 then {0} when n < 10 then {1} when n < 50 then {2} els
 
 @query(
     "voice_quality",
-    f"select conv_id, turn, ({_BANDS.format(0.0, 0.3, 0.6, 0.8)})::double as quality_score, {_BANDS.format(repr('invalid'), repr('poor'), repr('fair'), repr('good'))} as completeness, case when n >= 10 then 'medium' else 'low' end as value_level, case when n < 50 then 'manual review' else 'usable' end as recommendation from (select conv_id, turn, length(case when turn % 5 = 0 then '' when turn % 5 = 1 then substr(text, 1, 9) when turn % 5 = 2 then substr(text, 1, 20) else text end) as n from conversations)",
+    f"select conv_id, turn, ({_BANDS.format(0.0, 0.3, 0.6, 0.8)})::double as quality_score, {_BANDS.format(repr('invalid'), repr('poor'), repr('fair'), repr('good'))} as completeness, case when n >= 10 then 'medium' else 'low' end as value_level, case when n < 50 then 'manual review' else 'usable' end as recommendation from (select conv_id, turn, length(text) as n from conversations)",
 )
 def voice_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("turn") % 5
-    text = F.when(k == 0, "").when(k == 1, F.substring("text", 1, 9)).when(k == 2, F.substring("text", 1, 20)).otherwise(F.col("text"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.voice_quality(text).alias("q")).select("conv_id", "turn", "q.*")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.voice_quality(F.col("text")).alias("q")).select("conv_id", "turn", "q.*")
 
 
 _IMAGE = "(select page_id, (page_id % 11) / 10.0::double as a, least((page_id % 150) / 100.0::double, 1.0) as b, least((page_id % 8) / 5.0::double, 1.0) as c from pages)"
