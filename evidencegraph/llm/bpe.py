@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import cache
 from struct import pack
 
 import numpy as np
@@ -27,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import session
+from .common import session, worker_cache
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: States, pieces and pairs of tokens that a worker keeps; beyond that it starts anew.
@@ -209,7 +208,6 @@ class Decoder:
         return b"".join(out)
 
 
-@cache
 def coder(path: str) -> tuple[Encoder, Decoder]:
     ranks = load_ranks(path)
     return Encoder(ranks), Decoder(ranks)
@@ -222,7 +220,7 @@ def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = True) -> D
     kept = ", ids binary" if keep_ids else ""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, dec = coder(name or public_tokenizers.path(VOCABULARY))
+        enc, dec = worker_cache(coder, name or public_tokenizers.path(VOCABULARY))
         for batch in batches:
             n, ids, hashes, decoded = [], [], [], []
             for text in batch.column("text"):
@@ -244,7 +242,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     name = path
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dec = coder(name or public_tokenizers.path(VOCABULARY))[1]
+        dec = worker_cache(coder, name or public_tokenizers.path(VOCABULARY))[1]
         for batch in batches:
             texts = [dec.decode(np.frombuffer(x.as_py() or b"", "<u4")).decode("utf-8", "replace") for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])

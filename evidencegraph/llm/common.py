@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,26 @@ def dropped(*tables: DataFrame) -> None:
     sc._jvm.System.gc()
 
 
+#: What this Python worker keeps from task to task: the tables of one operator at a time, as workers serve one after another.
+_KEPT: dict[tuple, object] = {}
+
+
+def worker_cache(make: Callable, *args: str):
+    """`make(*args)`, kept in this worker until another operator needs the memory."""
+    if (key := (make, *args)) not in _KEPT:
+        release()
+        _KEPT[key] = make(*args)
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Give back what an operator before kept in this worker."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

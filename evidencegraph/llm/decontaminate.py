@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import session, table, utf8
+from .common import release, session, table, utf8
 
 #: Bytes of item texts in one automaton. Larger benchmarks are split by item into several, applied one after another.
 AUTOMATON_BYTES = 32 << 20
@@ -183,6 +183,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFram
             out = table(out, "decontaminate")
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            release()
             auto = shared.value
             for batch in batches:
                 n, spans, items = [], [], []

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, session, table
+from .common import dropped, release, session, table
 
 DEPTH, CONSTANT = 3, 6
 #: A template recurs in so many documents; shorter lines are no templates.
@@ -70,6 +70,7 @@ def named(docs: DataFrame, tokens: int) -> DataFrame:
     """k1, k2, doc: each template of each document, once a row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         of = Templates(tokens)
         for batch in batches:
             ids = batch.column("doc").to_pylist()
@@ -135,6 +136,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, tokens: int = TOKENS) -> Da
     schema = docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         of = Templates(tokens)
         for batch in batches:
             texts, keep = [], []
@@ -161,6 +163,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         of = Templates(TOKENS)
         for batch in batches:
             n, gone, sha = [], [], []

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import session, slices, table, utf8
+from .common import release, session, slices, table, utf8
 from .links import Near, bucketed, components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id") -> Data
     rows = docs.select(*rest, F.col(key).alias("doc_id"), utf8().alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             done = [simhashes(texts[a:b], shingle) for a, b in slices(np.array([len(t) for t in texts], np.int64))]

@@ -24,11 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import session, slices, utf8
+from .common import release, session, slices, utf8
 
 #: Labelled rows that are learned from at most: those of the lowest hash of doc_id.
 SAMPLE = 12_000
 BITS, FACTORS, EPOCHS, SEED = 18, 8, 30, 7
+#: Bytes of text that are scored at a time; each takes some 70 bytes of terms and vectors.
+SLICE_BYTES = 512 << 10
 #: Terms enter the machine if their G-test against the label reaches this.
 TELLING = 14.0
 
@@ -163,6 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | N
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).join(ids, "doc_id").select("h", "doc_id", "toxic", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         terms = Terms()
         for batch in batches:
             sets = [sorted(terms.of(t.as_py())) for t in batch.column("text")]
@@ -195,12 +198,13 @@ def scored(docs: DataFrame, machine: Machine | None, name: str = "score") -> Dat
     shared = spark.sparkContext.broadcast(machine)  # 2^BITS * (FACTORS + 1) floats
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         terms, m = Terms(), shared.value
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy()
             out = []
-            for a, b in slices(lengths):
+            for a, b in slices(lengths, SLICE_BYTES):
                 sets = [terms.of(t or b"") for t in texts.slice(a, b - a).to_pylist()]
                 n = np.fromiter(map(len, sets), np.int64, len(sets))
                 # in a fixed order, so that equal texts get equal sums
