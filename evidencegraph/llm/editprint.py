@@ -3,7 +3,8 @@
 A text is cut at content-defined places into pieces. Over each piece goes a walk that all pieces share: at
 step j it puts out the character under it, and a random bit of (j, character) says whether it moves on.
 Two walks over similar pieces fall into step again soon after an edit, so few of their outputs differ. A
-few steps are sampled; bands of sampled bits are the piece's features, and for each of SLOTS random orders
+few steps are sampled; bands of sampled bits are the piece's features. Where the walk ends before its piece, the rest
+is a piece of its own, so that every character is walked over. For each of SLOTS random orders
 the fingerprint keeps a byte of the text's first feature. Fingerprints are compared by the slots that
 differ. Candidates for near-duplicates meet in bands of slots and are verified over all slots.
 
@@ -70,13 +71,14 @@ def _pieces(sym: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return at
 
 
-def _walk(sym: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The feature of each band of each piece (pieces, BANDS)."""
+def _walk(sym: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The feature of each band of each piece (pieces, BANDS), and how many characters of each are walked over."""
     size = np.diff(at, prepend=0)
     order = np.argsort(-size, kind="stable")
     buf = np.zeros(len(sym) + len(at), np.uint8)
     buf[np.arange(len(sym)) + np.repeat(np.arange(len(at)), size)] = sym
-    pos = (at - size + np.arange(len(at)))[order].astype(np.int64)
+    begin = (at - size + np.arange(len(at)))[order].astype(np.int64)
+    pos = begin.copy()
     steps: dict[int, list[tuple[int, int]]] = {}
     for band in range(BANDS):
         for i, j in enumerate(_STEPS[band].tolist()):
@@ -92,7 +94,20 @@ def _walk(sym: np.ndarray, at: np.ndarray) -> np.ndarray:
         pos += bit
     back = np.empty((len(at), BANDS), np.uint64)
     back[order] = out.T
-    return back
+    walked = np.empty(len(at), np.int64)
+    walked[order] = pos - begin
+    return back, walked
+
+
+def _walks(sym: np.ndarray, at: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features of the pieces and their owners, then of what the walks have left, until nothing is left."""
+    while len(at):
+        f, walked = _walk(sym, at)
+        yield f, owner
+        size = np.diff(at, prepend=0)
+        rest = size - walked
+        sym = sym[np.arange(len(sym)) - np.repeat(at - size, size) >= np.repeat(walked, size)]
+        owner, at = owner[rest > 0], np.cumsum(rest[rest > 0])
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
@@ -112,19 +127,19 @@ def fingerprints(texts: list[str]) -> np.ndarray:
         for lo in range(0, len(cuts), 1 << 14):  # pieces at a time: memory stays bounded for very long texts
             part = cuts[lo : lo + (1 << 14)]
             first = cuts[lo - 1] if lo else 0
-            f = _walk(sym[first : part[-1]], part - first)
-            f ^= np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(60)
-            f *= np.uint64(0x9E3779B97F4A7C15)
-            f ^= f >> np.uint64(32)
-            f = (f * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32).ravel()
-            who = np.repeat(owner[lo : lo + (1 << 14)], BANDS)
-            begin = np.concatenate(([0], np.flatnonzero(who[1:] != who[:-1]) + 1))
-            for k in range(SLOTS):
-                g = f * _A[k] + _B[k]
-                g ^= g >> np.uint32(15)
-                g *= np.uint32(0x2C1B3C6D)
-                least = np.minimum.reduceat(g, begin)
-                best[who[begin], k] = np.minimum(best[who[begin], k], least)
+            for f, own in _walks(sym[first : part[-1]], part - first, owner[lo : lo + (1 << 14)]):
+                f ^= np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(60)
+                f *= np.uint64(0x9E3779B97F4A7C15)
+                f ^= f >> np.uint64(32)
+                f = (f * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32).ravel()
+                who = np.repeat(own, BANDS)
+                begin = np.concatenate(([0], np.flatnonzero(who[1:] != who[:-1]) + 1))
+                for k in range(SLOTS):
+                    g = f * _A[k] + _B[k]
+                    g ^= g >> np.uint32(15)
+                    g *= np.uint32(0x2C1B3C6D)
+                    least = np.minimum.reduceat(g, begin)
+                    best[who[begin], k] = np.minimum(best[who[begin], k], least)
         out[rows[at:to]] = ((best ^ (best >> np.uint32(16))) * np.uint32(0x45D9F3B) >> np.uint32(24)).astype(np.uint8)
         at = to
     return out
