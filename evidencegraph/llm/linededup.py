@@ -31,6 +31,8 @@ from .common import dropped, release, session, table
 DEPTH, CONSTANT = 3, 6
 #: A template recurs in so many documents; shorter lines are no templates.
 LEAST, TOKENS = 5, 2
+#: Constant tokens from which a template of the pipeline's stage is long, and recurs in two documents.
+LONG = 20
 #: Lines of which a worker keeps the templates.
 KEPT = 100_000
 LAST = (1 << 63) - 1
@@ -40,11 +42,11 @@ _OPEN = b"<*>"
 
 
 class Templates(dict):
-    """The hashes of a line's templates, 16 bytes each, one after another."""
+    """The hashes of a line's templates, 16 bytes each, one after another; with `long`, their lowest bit tells those of so many constant tokens."""
 
-    def __init__(self, tokens: int) -> None:
+    def __init__(self, tokens: int, long: int | None = None) -> None:
         super().__init__()
-        self.tokens = tokens
+        self.tokens, self.long = tokens, long
 
     def __missing__(self, line: bytes) -> bytes:
         words = line.split()
@@ -53,25 +55,28 @@ class Templates(dict):
         if n >= self.tokens:
             if line.translate(None, _DIGITS):  # it has digits
                 words = [_OPEN if w.translate(None, _DIGITS) else w for w in words]
-            of = xxhash.xxh3_128_digest
             leaf = b"%d " % n + b" ".join(words[:DEPTH])
-            out = of(leaf + b"\n" + b" ".join(words[DEPTH:]))
+            out = self.marked(leaf + b"\n" + b" ".join(words[DEPTH:]), n - words.count(_OPEN))
             mid = (n + DEPTH) // 2
             for side, half in ((b"\n<", words[DEPTH:mid]), (b"\n>", words[mid:])):
-                if len(half) - half.count(_OPEN) >= CONSTANT:
-                    out += of(leaf + side + b" ".join(half))
+                if (constant := len(half) - half.count(_OPEN)) >= CONSTANT:
+                    out += self.marked(leaf + side + b" ".join(half), constant)
         if len(self) >= KEPT:
             self.clear()
         self[line] = out
         return out
 
+    def marked(self, template: bytes, constant: int) -> bytes:
+        out = xxhash.xxh3_128_digest(template)
+        return out if self.long is None else bytes([out[0] & 0xFE | (constant >= self.long)]) + out[1:]
 
-def named(docs: DataFrame, tokens: int) -> DataFrame:
+
+def named(docs: DataFrame, tokens: int, long: int | None = None) -> DataFrame:
     """k1, k2, doc: each template of each document, once a row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        of = Templates(tokens)
+        of = Templates(tokens, long)
         for batch in batches:
             ids = batch.column("doc").to_pylist()
             keys: list[bytes] = []
@@ -90,16 +95,20 @@ def named(docs: DataFrame, tokens: int) -> DataFrame:
     return rows.filter("text is not null").mapInArrow(work, "k1 long, k2 long, doc long")
 
 
-def recurring(docs: DataFrame, least: int = LEAST, tokens: int = TOKENS) -> DataFrame:
-    """doc, drop: for each document the hashes (16 bytes each) of the templates whose lines it loses."""
+def recurring(docs: DataFrame, least: int = LEAST, tokens: int = TOKENS, long: int | None = None) -> DataFrame:
+    """doc, drop: for each document the hashes (16 bytes each) of the templates whose lines it loses.
+
+    Templates of `long` constant tokens or more recur in two documents.
+    """
     key = ["k1", "k2"]
-    rows = table(named(session(docs.sparkSession) and docs, tokens), "templates")
+    enough = F.lit(least) if long is None else F.when(F.col("k1").bitwiseAND(1) == 1, min(2, least)).otherwise(least)
+    rows = table(named(session(docs.sparkSession) and docs, tokens, long), "templates")
     many = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    many = table(many.filter((F.col("n") >= least) & (F.col("lo") < F.col("hi"))).select(*key, F.col("lo").alias("first")), "frequent-templates")
+    many = table(many.filter((F.col("n") >= enough) & (F.col("lo") < F.col("hi"))).select(*key, F.col("lo").alias("first")), "frequent-templates")
     # the rows of the few templates left; a document with several rows counts once
     rest = table(rows.join(many, key), "template-places")
     dropped(rows, many)
-    found = table(rest.groupBy(*key).agg(F.countDistinct("doc").alias("n")).filter(F.col("n") >= least).drop("n"), "recurring-templates")
+    found = table(rest.groupBy(*key).agg(F.countDistinct("doc").alias("n")).filter(F.col("n") >= enough).drop("n"), "recurring-templates")
     lost = rest.filter("doc <> first").join(found, key)
     return table(lost.groupBy("doc").agg(F.collect_set(F.struct(*key)).alias("drop")), "lost-templates")
 
@@ -125,19 +134,19 @@ def _drops(column: pa.Array) -> Iterator[set[bytes]]:
             yield {raw[i : i + 16] for i in range(0, len(raw), 16)}
 
 
-def with_drops(docs: DataFrame, least: int = LEAST, tokens: int = TOKENS) -> DataFrame:
+def with_drops(docs: DataFrame, least: int = LEAST, tokens: int = TOKENS, long: int | None = None) -> DataFrame:
     """`docs` with _drop: hashes of the templates whose lines go, or null."""
-    lost = recurring(docs, least, tokens).withColumnsRenamed({"doc": "_doc", "drop": "_drop"})
+    lost = recurring(docs, least, tokens, long).withColumnsRenamed({"doc": "_doc", "drop": "_drop"})
     return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(lost, "_doc", "left").drop("_doc")
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST, tokens: int = TOKENS) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = LEAST, tokens: int = TOKENS, long: int | None = None) -> DataFrame:
     """`docs` without lines of recurring templates, nor documents of which nothing is left; `n_chars`, where there is one, follows the text."""
     schema = docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        of = Templates(tokens)
+        of = Templates(tokens, long)
         for batch in batches:
             texts, keep = [], []
             for t, drop in zip(batch.column("text"), _drops(batch.column("_drop")), strict=True):
@@ -152,7 +161,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, tokens: int = TOKENS) -> Da
             new = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([new if c == "text" else batch.column(c) for c in schema.names], names=schema.names).filter(pa.array(keep))
 
-    out = with_drops(docs, least, tokens).mapInArrow(cut, schema)
+    out = with_drops(docs, least, tokens, long).mapInArrow(cut, schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).cast(schema["n_chars"].dataType))
     return out.select(*docs.columns)
