@@ -6,7 +6,8 @@ words of an item; an item of fewer words, but not none, is one window as a whole
 words can be cut out of the text, and documents of which too much is hit can be dropped.
 
 Defined results: a null text, or one without words, has no words and no hits; an item without words never
-occurs; rows of the same doc_id are judged one by one; items of the same item_id count once; an empty
+occurs; rows of the same doc_id are judged one by one; items of the same item_id count once; an
+item of a null item_id hits, but is not among the items named, and the query op10 leaves it out as its SQL does; an empty
 benchmark leaves all documents as they are; a column of any other name is carried along untouched.
 """
 
@@ -45,7 +46,7 @@ class Automaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         texts = []
-        for item, text in sorted(set(items)):
+        for item, text in sorted(set(items), key=lambda x: (x[0] is None, x[0] or "", x[1])):
             if seq := [self.ids.setdefault(w, len(self.ids)) for w in words_of(text)]:
                 texts.append((item, seq))
                 last = 0
@@ -59,19 +60,20 @@ class Automaton:
             up = self.link[v]
             self.at_window[v] = self.at_window[up] if self.length[up] >= window else v if self.length[v] >= window else -1
         for item, seq in texts:
+            named = () if item is None else (item,)
             v = n = 0
             for c in seq:
                 v, n = self._step(v, n, c)
                 if n >= window:
-                    own.setdefault(self.at_window[v], set()).add(item)
+                    own.setdefault(self.at_window[v], set()).update(named)
             if len(seq) < window:
                 held = short.setdefault(v, [])
                 for m, names in held:
                     if m == len(seq):
-                        names.add(item)
+                        names.update(named)
                         break
                 else:
-                    held.append((len(seq), {item}))
+                    held.append((len(seq), set(named)))
                 self.shortest = min(self.shortest, len(seq))
         self.window_items = {v: sorted(x) for v, x in own.items()}
         # the short items that end with a state's longest substring, and the next state up that has any
@@ -163,7 +165,7 @@ class Automaton:
 
 def _automata(spark: SparkSession, benchmark: DataFrame, window: int) -> list:
     """Broadcasts of automata, each of items of at most AUTOMATON_BYTES in all (or of one item)."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), utf8().alias("text")).filter("item is not null").distinct()
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), utf8().alias("text")).distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-total // AUTOMATON_BYTES) or 1
     out = []
@@ -174,7 +176,7 @@ def _automata(spark: SparkSession, benchmark: DataFrame, window: int) -> list:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """`docs` with `_spans` (word ranges as start, end, start, ...), `_items` (sorted ids) and `_n_words`."""
+    """`docs` with `_spans` (word ranges as start, end, start, ...), `_items` (sorted ids) and `_n_words`; an item without an id hits, but has no id to name."""
     spark = session(docs.sparkSession)
     automata = _automata(spark, benchmark, window)
     out = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
@@ -259,7 +261,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_w
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hit words of every document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("item_id is not null"))  # as its SQL
     hit = F.aggregate(F.sequence(F.lit(0), F.size("_spans") - 1), F.lit(0), lambda s, i: s + F.when(i % 2 == 1, F.col("_spans")[i]).otherwise(-F.col("_spans")[i]))
     n_hit = F.when(F.size("_spans") > 0, hit).otherwise(0).cast("long")
     return found.select(
