@@ -1,7 +1,7 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-A document is the set of its hashed terms: words, the beginnings of words, and the text's pairs of
-neighbouring words. The machine adds to the linear weights an inner product of latent vectors for every
+A document is the set of its hashed terms: words and the beginnings of words; neighbouring words are no
+terms of their own. The machine adds to the linear weights an inner product of latent vectors for every
 pair of terms, so that it learns that an insult beside a mention of a group weighs more than both alone.
 It is trained here by logistic loss on a bounded sample of labelled rows; a calibrated scale and offset
 turn the margin into a probability.
