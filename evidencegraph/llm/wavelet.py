@@ -18,8 +18,8 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Iterable, Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, ranged, session, shared_dir, table
+from .common import partitions, ranged, session, shared_dir, table, worker_cache
 from tokenizers import Tokenizer
 
 VOCABULARY, END = "word_bpe_49k.json", 2
@@ -37,7 +37,7 @@ MAGIC = b"EGWM0001"
 #: Bytes of a plane in one compressed block, and ids in one file before the next one of the shard begins.
 BLOCK, FILE_IDS = 1 << 14, 6_000_000
 #: Words that a worker keeps the ids of, in two generations.
-WORDS = 500_000
+WORDS = 300_000
 NULL = -(1 << 63)
 #: Marks words that the library gets as they are; no text holds it.
 _WHOLE = "\ud800"
@@ -203,29 +203,41 @@ class Words:
                 out.append(_WHOLE + w)
         return out
 
-    def _learn(self, new: list[str]) -> None:
-        simple = [x for x in new if self.simple(x)]
+    def _learn(self, new: Iterable[str]) -> None:
+        rest, model = [], self.tokenizer.model.tokenize
+        for x in new:
+            if x.isascii() and x.isalpha():  # to such words normalising and splitting do nothing
+                ids = [t.id for t in model(x)]
+                self.table[x] = pack(f"<{len(ids)}H", *ids)
+            else:
+                rest.append(x)
+        simple = [x for x in rest if self.simple(x)]
         for at in range(0, len(simple), 5000):
             some = simple[at : at + 5000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u2")
+            ids = np.array(self._encode(" ".join(some)), "<u2")
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(some):
                 data, begin = ids.tobytes(), 0
                 for x, to in zip(some, (2 * cut).tolist(), strict=True):
                     self.table[x] = data[begin:to]
                     begin = to
-        for x in new:
+        for x in rest:
             if x not in self.table:
-                self.table[x] = np.array(self.tokenizer.encode(x.removeprefix(_WHOLE), add_special_tokens=False).ids, "<u2").tobytes()
+                self.table[x] = np.array(self._encode(x.removeprefix(_WHOLE)), "<u2").tobytes()
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.table) > WORDS:
             self.old, self.table = self.table, {}
         split = [self._pieces(t) for t in texts]
         missing = set().union(*split) - self.table.keys()
-        for w in missing & self.old.keys():
-            self.table[w] = self.old[w]
-        self._learn(sorted(missing - self.table.keys()))
+        if self.old:
+            for w in missing & self.old.keys():
+                self.table[w] = self.old[w]
+            missing -= self.table.keys()
+        self._learn(missing)
         get = self.table.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
@@ -241,11 +253,6 @@ def _latin(text: str) -> bool:
     return True
 
 
-@cache
-def words(path: str) -> Words:
-    return Words(path)
-
-
 def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END) -> DataFrame:
     """Write shards to `folder`, a URI that executors share. Returns part, seq, file, n_docs, n_ids of each file."""
     spark = session(docs.sparkSession)
@@ -255,7 +262,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END)
     vocabulary = path
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = words(vocabulary or public_tokenizers.path(VOCABULARY))
+        encode = worker_cache(Words, vocabulary or public_tokenizers.path(VOCABULARY))
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         last = np.array([end], "<u2").tobytes()
         part, seq = -1, 0
