@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,15 +15,18 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that Spark puts into an Arrow batch for the Python stages; texts can be long.
-ARROW_ROWS = "1000"
+#: Bounds of the Arrow batches that Spark makes for the Python stages, as texts can be long: rows and bytes.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 #: Bytes of text that a Python stage works on at a time.
 SLICE_BYTES = 4 << 20
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches of this session; the setting is read when a plan runs."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    """Bound the Arrow batches of this session where the caller has set no bound; the settings are read when a plan runs, so they stay."""
+    own = spark._jsparkSession.sessionState().conf()
+    for key, bound in ARROW.items():
+        if not own.contains(key):
+            spark.conf.set(key, bound)
     return spark
 
 
@@ -52,14 +57,19 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return found
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Delete tables of `table` that nothing reads any more, and let Spark's cleaner drop the shuffles of finished steps."""
+def deleted(*tables: DataFrame) -> None:
+    """Delete tables of `table` that nothing reads any more."""
     sc = tables[0].sparkSession.sparkContext
     for df in tables:
         path = sc._jvm.org.apache.hadoop.fs.Path(df._written)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete such tables, and let Spark's cleaner drop the shuffles of finished steps."""
+    deleted(*tables)
     gc.collect()
-    sc._jvm.System.gc()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 #: What this Python worker keeps from task to task: the tables of one operator at a time, as workers serve one after another.
@@ -78,8 +88,32 @@ def release() -> None:
     """Give back what an operator before kept in this worker."""
     if _KEPT:
         _KEPT.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        trimmed()
+
+
+def trimmed() -> None:
+    """Return freed memory of this worker to the system, where the C library can: workers that wait then hold little."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc(), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+@cache
+def _libc():
+    return ctypes.CDLL(None)
+
+
+def unused(names: Iterable[str], *wanted: str) -> list[str]:
+    """Names like those wanted that clash with none of `names`, whatever their case."""
+    taken, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while (w := f"_{w}") in taken:
+            pass
+        taken.add(w)
+        out.append(w)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

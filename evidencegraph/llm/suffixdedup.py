@@ -6,7 +6,8 @@ windows have it at the same offset, so windows meet in a bucket under the bytes
 them part, and the pieces renamed to symbols; a suffix array over the symbols of many buckets shows with its
 longest common prefixes which windows occur twice. Equal strings of a bucket are one class that stands for
 all its members, so that groups of copies neither fill a bucket nor a task; a bucket of more than BUCKET
-classes is cut by finer ranges of offsets, which share more, and at last each window is counted by its 128-bit hash.
+classes is cut by finer ranges of offsets, which share more, until it is small: a range of one offset has one class.
+Where a text repeats itself without a break, its cells of one class are one row.
 
 The suffix array is built in two phases: groups of suffixes, by first symbol, are taken in descending order, and
 the suffixes before them, found by pointers to the previous suffix of a lower group, move up into groups of their
@@ -27,19 +28,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, groups, session, slices, starts, table, utf8
+from .common import dropped, groups, release, session, slices, starts, table, trimmed, utf8
 
 #: Bytes of a gram, and bytes of text that are hashed at a time.
-GRAM, PIECE = 32, 2 << 20
+GRAM, PIECE = 32, 512 << 10
 #: Classes in a bucket that goes to a suffix array, and symbols in one array.
-BUCKET, SYMBOLS = 256, 200_000
-#: A larger bucket is cut in PARTS by ranges of offsets, up to LEVELS times.
-PARTS, LEVELS = 4, 2
+BUCKET, SYMBOLS = 256, 60_000
+#: A larger bucket is cut in PARTS by ranges of offsets, again and again.
+PARTS = 4
 #: Texts that a task remembers, so as not to list a copy again.
-SEEN = 200_000
+SEEN = 50_000
 
 _rng = np.random.default_rng(400)
 _GRAM = _rng.integers(1, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
@@ -178,8 +179,9 @@ class Cells:
         return at[first[:-1]], first[:-1], first[1:] - 1
 
     def of(self, b: np.ndarray, ends: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Text number, minimizer, cell, two hashes of the core, hash of the content, for the texts in `b`.
+        """Text number, minimizer, cell, two hashes of the core, hash of the content, for the texts in `b`, and how far on the last of equal cells is.
 
+        Equal cells that follow on each other, at most `length` apart, are one: together they cover one range.
         `cut` tells for each text whether more of it comes before and after; cells that reach there are left out.
         """
         begin = np.concatenate(([0], ends[:-1]))
@@ -196,7 +198,11 @@ class Cells:
             c0, c1 = g - near, g - far + self.length
             x, y = np.maximum(g - far, begin[own]), np.minimum(g - near + self.length, ends[own])
             tag = np.full(len(g), cell, np.uint64)
-            out.append((own, g - begin[own], tag.astype(np.int64), _mixed(tag, _hash(sums, c0, c1, 0)), _mixed(tag, _hash(sums, c0, c1, 1)), _mixed(_hash(sums, x, y, 0), _hash(sums, x, y, 1), g - x, y - g)))
+            k1, k2, c = _mixed(tag, _hash(sums, c0, c1, 0)), _mixed(tag, _hash(sums, c0, c1, 1)), _mixed(_hash(sums, x, y, 0), _hash(sums, x, y, 1), g - x, y - g)
+            same = (own[1:] == own[:-1]) & (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]) & (c[1:] == c[:-1]) & (g[1:] - g[:-1] <= self.length)
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(g)), bool), ~same)))
+            last = np.append(first[1:] - 1, len(g) - 1) if len(g) else first
+            out.append((own[first], (g - begin[own])[first], tag.astype(np.int64)[first], k1[first], k2[first], c[first], g[last] - g[first]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -210,10 +216,11 @@ def _parts(n: int, length: int) -> Iterator[tuple[int, int]]:
 
 
 def members(texts: DataFrame, length: int) -> DataFrame:
-    """h1, h2, at, cell, k1, k2, c: each cell of the texts (h1, h2, text)."""
+    """h1, h2, at, cell, k1, k2, c, reach: each cell of the texts (h1, h2, text); `reach` tells how far on the last of equal ones is."""
     cells = Cells(length)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             h1, h2 = batch.column("h1").to_pylist(), batch.column("h2").to_pylist()
@@ -228,13 +235,14 @@ def members(texts: DataFrame, length: int) -> DataFrame:
             for lo, hi in slices(np.array([len(r[2]) for r in rows], np.int64), PIECE):
                 part = rows[lo:hi]
                 b = np.frombuffer(b"".join(r[2] for r in part), np.uint8)
-                own, at, cell, k1, k2, c = cells.of(b, np.cumsum([len(r[2]) for r in part]), np.array([r[3] for r in part]))
+                own, at, cell, k1, k2, c, reach = cells.of(b, np.cumsum([len(r[2]) for r in part]), np.array([r[3] for r in part]))
                 first = np.array([r[1] for r in part])
                 who = [part[o][0] for o in range(len(part))]
                 ids = [pa.array(np.array([h[w] for w in who], np.int64)[own]) for h in (h1, h2)]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(at + first[own]), pa.array(cell.astype(np.int8)), pa.array(k1), pa.array(k2), pa.array(c)], names=["h1", "h2", "at", "cell", "k1", "k2", "c"])
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(at + first[own]), pa.array(cell.astype(np.int8)), pa.array(k1), pa.array(k2), pa.array(c), pa.array(reach)], names=["h1", "h2", "at", "cell", "k1", "k2", "c", "reach"])
+        trimmed()
 
-    return texts.mapInArrow(work, "h1 long, h2 long, at long, cell byte, k1 long, k2 long, c long")
+    return texts.mapInArrow(work, "h1 long, h2 long, at long, cell byte, k1 long, k2 long, c long, reach long")
 
 
 _PIECES = ["k1", "k2", "c", "near", "far", "before", "after"]
@@ -266,6 +274,7 @@ def pieces_of(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(flat.field(x) for x in ("k1", "k2", "c")), *(pa.array([x[i] for x in bounds], pa.int32()) for i in (0, 1)), pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=_PIECES)
             if len(seen) > SEEN:
                 seen.clear()
+        trimmed()
 
     return rows.mapInArrow(work, "k1 long, k2 long, c long, near int, far int, before binary, after binary")
 
@@ -361,7 +370,7 @@ def search(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         cols = [pa.array(np.array([x[k] for x in held], np.int64)[own]) for k in range(3)]
         return pa.RecordBatch.from_arrays([*cols, pa.array(begin), pa.array(begin + much)], names=["k1", "k2", "c", "from", "to"])
 
-    for t in groups(batches, "k1"):
+    for t in groups(batches, "k1", 1 << 14):
         keys = np.stack([t.column(x).to_numpy() for x in ("k1", "k2", "c")], axis=1)
         t = t.filter(pa.array(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))))  # each class once
         keys = np.stack([t.column(x).to_numpy() for x in ("k1", "k2")], axis=1)
@@ -387,28 +396,7 @@ def search(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
                 held, names, sizes, fresh = [], [], [], 0
     if held:
         yield flush()
-
-
-def hashed_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """k1, k2, c, from, w1, w2: every window of each row, for a bucket of any size."""
-    for batch in batches:
-        for rows in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-            k1, k2, c, near, far = (rows.column(x).to_numpy() for x in ("k1", "k2", "c", "near", "far"))
-            before, after = rows.column("before").to_pylist(), rows.column("after").to_pylist()
-            b = np.frombuffer(b"".join(x for pair in zip(before, after, strict=True) for x in pair), np.uint8)
-            sums = _sums(b)
-            n = np.array([len(x) for x in before]), np.array([len(x) for x in after])
-            at = np.cumsum(n[0] + n[1]) - n[0] - n[1]
-            core = length - far.astype(np.int64) + near
-            least, most = np.maximum(0, length - core - n[1]), np.minimum(n[0], length - core)  # bytes of a window before the core
-            count = np.maximum(0, most - least + 1)
-            own = np.repeat(np.arange(len(k1)), count)
-            left = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count) + least[own]
-            mid = (at + n[0])[own]
-            # the core is between both parts and equal for equal keys, so that a window is its key and one range
-            a, z = mid - left, mid + (length - core)[own] - left
-            w = [_mixed(k[own], left, _hash(sums, a, z, i)) for i, k in enumerate((k1, k2))]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[own]) for x in (k1, k2, c)), pa.array(-near.astype(np.int64)[own] - left), *map(pa.array, w)], names=["k1", "k2", "c", "from", "w1", "w2"])
+    trimmed()
 
 
 def finer(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -436,16 +424,16 @@ def finer(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[*_PIECES, "o1", "o2", "oc"])
 
 
-def twice(rows: DataFrame, by: list[str], of) -> DataFrame:
-    """The values of `by` that have two or more of `of`."""
-    return rows.groupBy(*by).agg(F.min(of).alias("_lo"), F.max(of).alias("_hi")).filter("_lo <> _hi").drop("_lo", "_hi")
+def twice(rows: DataFrame, by: list[str], first: Column, last: Column) -> DataFrame:
+    """The values of `by` that have two or more places, of rows that have places from `first` to `last`."""
+    return rows.groupBy(*by).agg(F.min(first).alias("lo"), F.max(last).alias("hi")).filter("lo <> hi").drop("lo", "hi")
 
 
-def repeated_parts(rows: DataFrame, length: int, level: int = 0) -> DataFrame:
+def repeated_parts(rows: DataFrame, length: int) -> DataFrame:
     """k1, k2, c, from, to of what is repeated among the classes of each bucket (rows as of `pieces_of`).
 
     Buckets of up to BUCKET classes go to suffix arrays. In larger ones the range is cut in finer ones, of which equal rows are
-    one class, up to LEVELS times; what is still larger then has its windows counted one by one.
+    one class, and these buckets are taken likewise; the core of a range of one offset is the whole window.
     """
     key = ["k1", "k2"]
     sizes = table(rows.select(*key, "c").distinct().groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET), "hot-buckets")
@@ -456,16 +444,12 @@ def repeated_parts(rows: DataFrame, length: int, level: int = 0) -> DataFrame:
     if not any_hot:
         return found
     hot = rows.join(sizes.select(*key), key).select(*_PIECES)
-    if level == LEVELS:
-        windows = table(hot.mapInArrow(lambda it: hashed_windows(it, length), "k1 long, k2 long, c long, `from` long, w1 long, w2 long"), "windows")
-        counted = windows.join(table(twice(windows, ["w1", "w2"], F.xxhash64("c", "from")), "repeated-windows"), ["w1", "w2"])
-        return found.unionByName(counted.select(*key, "c", "from", (F.col("from") + length).alias("to")))
     fine = table(hot.mapInArrow(lambda it: finer(it, PARTS), "k1 long, k2 long, c long, near int, far int, before binary, after binary, o1 long, o2 long, oc long"), "finer")
     one = F.min(F.struct("near", "far", "before", "after")).alias("one")
     classes = fine.groupBy(*key, "c").agg(one, (F.min("oc") != F.max("oc")).alias("known"))
     classes = table(classes.select(*key, "c", "one.*", "known"), "finer-classes")
     several = table(classes.groupBy(*key).agg(F.count("*").alias("n"), F.min("known").alias("all")).filter("n > 1 and not all").select(*key), "several")
-    more = repeated_parts(classes.join(several, key), length, level + 1)
+    more = repeated_parts(classes.join(several, key), length)
     known = classes.filter("known").select(*key, "c", (-F.col("far")).cast("long").alias("from"), (length - F.col("near")).cast("long").alias("to"))
     parts = table(more.unionByName(known), "finer-found")
     back = fine.select(*key, "c", "o1", "o2", "oc").join(parts, [*key, "c"])
@@ -482,13 +466,13 @@ def repeats(docs: DataFrame, length: int = 400) -> DataFrame:
         raise ValueError("windows of 8 bytes or more are expected")
     key, text = ["k1", "k2"], ["h1", "h2"]
     long = docs.filter(F.length("text") >= length)
-    place = F.xxhash64("h1", "h2", "at")
+    place, last = F.xxhash64("h1", "h2", "at"), F.xxhash64("h1", "h2", F.col("at") + F.col("reach"))
     every = table(members(long, length), "cells")
-    cores = table(twice(every, key, place), "cores")
+    cores = table(twice(every, key, place, last), "cores")
     own = table(every.join(cores, key), "repeated-cells")
     dropped(every, cores)
     one = F.min(F.struct("h1", "h2", "at", "cell")).alias("one")
-    classes = own.groupBy(*key, "c").agg(one, (F.min(place) != F.max(place)).alias("known"))
+    classes = own.groupBy(*key, "c").agg(one, (F.min(place) != F.max(last)).alias("known"))
     classes = table(classes.select(*key, "c", "one.*", "known"), "classes")
     several = classes.groupBy(*key).agg(F.count("*").alias("n"), F.min("known").alias("all")).filter("n > 1 and not all")
     several = table(several.select(*key), "several")
@@ -502,7 +486,7 @@ def repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     joined = F.aggregate("s", F.array().cast("array<struct<from:bigint,to:bigint>>"), _join)  # of one cell: a few hundred at most
     part = table(part.select(*key, "c", F.explode(joined).alias("s")), "found")
     dropped(asked, classes)
-    here = F.struct((F.col("at") + F.col("s.from")).alias("from"), (F.col("at") + F.col("s.to")).alias("to"))
+    here = F.struct((F.col("at") + F.col("s.from")).alias("from"), (F.col("at") + F.col("reach") + F.col("s.to")).alias("to"))
     spans = own.join(part, [*key, "c"]).select(*text, here.alias("s")).groupBy(*text).agg(F.collect_set("s").alias("s"))
     copies = long.groupBy(*text).agg(F.count("*").alias("n"), F.min(F.length("text")).cast("long").alias("to")).filter("n > 1")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("to")))
