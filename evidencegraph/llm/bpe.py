@@ -2,9 +2,10 @@
 
 The encoding of a prefix ends with one certain token, and two tokens can stand side by side if and only
 if the merges give back these two for their joined bytes. So the transducer reads bytes and keeps, for
-each place where a longer token may still begin, the token that ends there. States are such sets with
-the output that is still open; they are made when first reached. A token is emitted once all that is
-alive agrees on it, at most one token's length behind the input.
+each place where a longer token may still begin, the token that ends there. States are such sets; they are
+made when first reached. Each move puts out the token with which the prefix so far ends, and so the tokens
+follow backwards from any place: from the end of a piece, or in long ones, at each WINDOW bytes, from the last
+place on which all that is alive agrees.
 
 Decoding runs a UTF-8 state machine over token ids, and passes on whole characters only.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 from struct import pack
 
@@ -26,11 +28,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import session, worker_cache
+from .common import session, trimmed, worker_cache
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: States, pieces and pairs of tokens that a worker keeps; beyond that it starts anew.
-STATES, PIECES, NEIGHBOURS, PIECE_CHARS = 200_000, 100_000, 300_000, 48
+STATES, PIECES, NEIGHBOURS, PIECE_CHARS = 150_000, 200_000, 200_000, 48
+#: Bytes of a piece that are read at a time.
+WINDOW = 4096
+_BEYOND = re.compile("[^\x00-\xff]").search
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,27 +44,49 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Bytes of one piece of text to token ids."""
+    """Bytes of one piece of text to token ids.
+
+    A state holds, for each place where a longer token may still begin, the earliest first, the node that its bytes
+    reach in the tree of tokens, and the token before it (node << 32 | token + 1); the place after all bytes comes last.
+    """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self.prefixes = {t[:i] for t in ranks for i in range(len(t))}
         self.tokens = {r: t for t, r in ranks.items()}
-        self.beside: dict[tuple[int, int], bool] = {}
-        self._reset()
-
-    def _reset(self) -> None:
+        self.size = {r: len(t) for t, r in ranks.items()}
+        self.parts: dict[int, tuple[int, int]] = {}  # the last merge that makes a token
+        for rank, text in sorted(self.tokens.items()):
+            for i in range(1, len(text)):
+                a, b = ranks.get(text[:i]), ranks.get(text[i:])
+                if a is not None and b is not None and a < rank and b < rank and self._apart(a, b, rank):
+                    self.parts[rank] = a, b
+                    break
+        self.tree: dict[int, int] = {}  # node << 8 | byte: the node that follows
+        self.token_at, self.depth, inner = [-1], [0], {0}
+        for text, rank in ranks.items():
+            node = 0
+            for i, byte in enumerate(text, 1):
+                inner.add(node)
+                if (to := self.tree.get(node << 8 | byte)) is None:
+                    to = self.tree[node << 8 | byte] = len(self.token_at)
+                    self.token_at.append(-1)
+                    self.depth.append(i)
+                node = to
+            self.token_at[node] = rank
+        self.inner = bytes(node in inner for node in range(len(self.token_at)))
+        self.reset()
+
+    def reset(self) -> None:
+        self.beside: dict[int, bool] = {}
         self.number: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.silent: dict[int, int] = {}  # state * 256 + byte: next state * 256
-        self.loud: dict[int, tuple[int, tuple[int, ...]]] = {}  # the same with what is emitted, where anything is
-        self._state(b"", ((0, -1, ()),))
-
-    def _state(self, pending: bytes, alive: tuple) -> int:
-        key = (pending, alive)
-        if (s := self.number.get(key)) is None:
-            s = self.number[key] = len(self.states)
-            self.states.append(key)
+        self.moves: dict[int, int] = {}  # state << 8 | byte: next state << 32 | token
+        self._state((0,))
+
+    def _state(self, alive: tuple) -> int:
+        if (s := self.number.get(alive)) is None:
+            s = self.number[alive] = len(self.states)
+            self.states.append(alive)
         return s
 
     def merge(self, text: bytes) -> list[int]:
@@ -73,46 +100,83 @@ class Transducer:
         return [self.ranks[p] for p in parts]
 
     def _fits(self, left: int, right: int) -> bool:
-        if (ok := self.beside.get((left, right))) is None:
+        key = left << 32 | right
+        if (ok := self.beside.get(key)) is None:
             if len(self.beside) > NEIGHBOURS:
                 self.beside.clear()
-            text = self.tokens[right]
-            want = [right]
-            if left >= 0:
-                text, want = self.tokens[left] + text, [left, right]
-            ok = self.beside[left, right] = self.merge(text) == want
+            ok = self.beside[key] = left < 0 or self._apart(left, right)
         return ok
 
-    def _move(self, at_byte: int) -> tuple[int, tuple[int, ...]]:
-        pending, alive = self.states[at_byte >> 8]
-        pending += bytes((at_byte & 255,))
-        token, chain = next((t, chain) for at, last, chain in alive if (t := self.ranks.get(pending[at:])) is not None and self._fits(last, t))
-        now = [x for x in alive if pending[x[0] :] in self.prefixes] + [(len(pending), token, (*chain, token))]
-        done = min(len(x[2]) for x in now)
-        first = now[0][2]
-        while any(x[2][:done] != first[:done] for x in now):
-            done -= 1
-        cut = now[0][0]
-        to = self._state(pending[cut:], tuple((at - cut, last, chain[done:]) for at, last, chain in now))
-        if done:
-            self.loud[at_byte] = to << 8, first[:done]
-        else:
-            self.silent[at_byte] = to << 8
-        return to << 8, first[:done]
+    def _apart(self, left: int, right: int, before: int = 1 << 60) -> bool:
+        """Whether merges of ranks lower than `before` leave two tokens side by side.
+
+        The merges that made both are undone, the last first. What then touches, `left` and `right`, must not have had a merge
+        of its own before the one just undone: by rank, and of one rank from the left.
+        """
+        tokens, ranks, parts = self.tokens, self.ranks, self.parts
+        while ranks.get(tokens[left] + tokens[right], before) >= before:
+            if left > right and left in parts or right not in parts:
+                if left not in parts:
+                    return True
+                before, left = left, parts[left][1]
+            else:
+                before, right = right + 1, parts[right][0]
+        return False
+
+    def _move(self, at_byte: int) -> int:
+        byte, tree, inner = at_byte & 255, self.tree, self.inner
+        now, token = [], -1
+        for entry in self.states[at_byte >> 8]:
+            if (to := tree.get(entry >> 32 << 8 | byte)) is None:
+                continue
+            if token < 0 and (found := self.token_at[to]) >= 0 and self._fits((entry & 0xFFFFFFFF) - 1, found):
+                token = found
+            if inner[to]:
+                now.append(to << 32 | entry & 0xFFFFFFFF)
+        now.append(token + 1)
+        self.moves[at_byte] = moved = self._state(tuple(now)) << 32 | token
+        return moved
 
     def encode(self, piece: bytes) -> list[int]:
         if len(self.states) > STATES:
-            self._reset()
+            self.reset()
         out: list[int] = []
-        state, silent = 0, self.silent.get
-        for byte in piece:
-            if (to := silent(state | byte)) is None:
-                to, emitted = self.loud.get(state | byte) or self._move(state | byte)
-                out += emitted
-            state = to
-        out += self.states[state >> 8][1][-1][2]
+        ends: list[int] = []  # at each byte of what isn't put out yet, the token that ends there
+        at, moves = 0, self.moves.get
+        for lo in range(0, len(piece), WINDOW):
+            for byte in piece[lo : lo + WINDOW]:
+                key = at >> 32 << 8 | byte
+                if (at := moves(key)) is None:
+                    at = self._move(key)
+                ends.append(at & 0xFFFFFFFF)
+            if lo + WINDOW < len(piece):
+                agreed = self._agreed(ends, at >> 32)
+                out += self._backwards(ends, agreed)
+                del ends[:agreed]
+        return out + self._backwards(ends, len(ends)) if out else self._backwards(ends, len(ends))
+
+    def _backwards(self, ends: list[int], at: int) -> list[int]:
+        """The tokens up to a place."""
+        out, size = [], self.size
+        while at:
+            out.append(token := ends[at - 1])
+            at -= size[token]
+        out.reverse()
         return out
 
+    def _agreed(self, ends: list[int], state: int) -> int:
+        """The last place through which the tokens go from wherever the next one begins."""
+        places = {len(ends) - self.depth[node] for node in (entry >> 32 for entry in self.states[state])}
+        while len(places) > 1:
+            last = max(places)
+            places.remove(last)
+            places.add(last - self.size[ends[last - 1]])
+        return places.pop()
+
+
+#: The classes of the pattern among the characters up to U+00FF.
+_LETTERS, _NUMBERS, _SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+
 
 class Encoder(dict):
     """Text to packed ids; the pieces last seen are kept as whole paths of the transducer, in two generations."""
@@ -120,6 +184,10 @@ class Encoder(dict):
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN) -> None:
         self.transducer = Transducer(ranks)
         self.split = regex.compile(pattern).findall
+        # the standard library takes half the time, but has no classes of Unicode: up to U+00FF they are listed
+        listed = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{_SPACE}{_LETTERS}{_NUMBERS}]").replace(r"\p{L}", f"[{_LETTERS}]").replace(r"\p{N}", f"[{_NUMBERS}]")
+        listed = listed.replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
+        self.split_latin = re.compile(listed).findall if "\\p" not in listed else self.split
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -131,12 +199,19 @@ class Encoder(dict):
             self[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        """Give back what was learned."""
+        self.clear()
+        self.old = {}
+        self.transducer.reset()
+
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if len(self) > PIECES:
             self.old = dict(self)
             self.clear()
-        return b"".join(map(self.__getitem__, self.split(text)))
+        split = self.split_latin if text.isascii() or not _BEYOND(text) else self.split
+        return b"".join(map(self.__getitem__, split(text)))
 
 
 #: UTF-8 by classes of bytes: what each state makes of a class; 0 stands between characters, 8 is an error.
@@ -165,6 +240,7 @@ class Decoder:
             self.tokens[r] = t
         self.moves: dict[tuple[int, int], int] = {}
         self.whole = np.array([self.move(0, r) == 0 for r in range(len(self.tokens))])
+        self.moves.clear()
 
     def move(self, state: int, token: int) -> int:
         """The state of the UTF-8 machine after a token."""
@@ -190,23 +266,27 @@ class Decoder:
     def decode(self, ids: np.ndarray) -> bytes:
         """All bytes. Runs of tokens that are whole characters pass at once; the machine steps through the others."""
         if self.whole[ids].all():
-            return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+            return self.joined(ids)
         out, at = [], 0
-        seq = ids.tolist()
         for k in np.flatnonzero(~self.whole[ids]).tolist():
             if k < at:
                 continue
-            out.extend(map(self.tokens.__getitem__, seq[at:k]))
+            out.append(self.joined(ids[at:k]))
             state, at = 0, k
-            while at < len(seq):
-                state = self.move(state, seq[at])
-                out.append(self.tokens[seq[at]])
+            while at < len(ids):
+                token = int(ids[at])
+                state = self.move(state, token)
+                out.append(self.tokens[token])
                 at += 1
                 if state in (0, 8):
                     break
-        out.extend(map(self.tokens.__getitem__, seq[at:]))
+        out.append(self.joined(ids[at:]))
         return b"".join(out)
 
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The tokens' bytes, one after another."""
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+
 
 def coder(path: str) -> tuple[Encoder, Decoder]:
     ranks = load_ranks(path)
@@ -232,6 +312,8 @@ def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = True) -> D
                     ids.append(packed)
             cols = [batch.column("doc_id"), pa.array(n, pa.int64()), *([pa.array(ids, pa.binary())] * keep_ids), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", *["ids"] * keep_ids, "ids_sha256", "decoded_sha256"])
+        enc.forget()  # workers that wait hold the vocabulary only
+        trimmed()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(work, f"doc_id long, n_tokens long{kept}, ids_sha256 string, decoded_sha256 string")
