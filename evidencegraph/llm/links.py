@@ -9,40 +9,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, starts, table
+from .common import deleted, groups, starts, table
 
 #: Members that are compared within one bucket. A larger bucket is dealt to cells, each of two blocks of at most so many.
 BLOCK = 2048
 
 
-def forest(codes: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links among `codes` (rows of bytes).
+def forest(n: int, linked: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the links among `n` rows; `linked` tells of two arrays of row numbers which pairs link.
 
-    Rows link if at least `least` bytes agree by position and at most `most` bits differ. The work
-    is quadratic in the number of rows, what it returns is linear, and memory is bounded.
+    The work is quadratic in the number of rows, what it returns is linear, and memory is bounded by `width`, the bytes of a comparison.
     """
-    a_out: list[np.ndarray] = []
-    b_out: list[np.ndarray] = []
-    left = np.arange(len(codes))
-    step = max(1, (1 << 22) // max(1, codes.shape[1] * len(codes)))
+    a_out: list[np.ndarray] = [np.zeros(0, np.int64)]
+    b_out: list[np.ndarray] = [np.zeros(0, np.int64)]
+    left = np.arange(n)
+    step = max(1, (1 << 22) // max(1, width * n))
     while len(left) > 1:
         front, left = left[:1], left[1:]
         while len(front) and len(left):
             part, front = front[:step], front[step:]
-            x = codes[part][:, None, :] ^ codes[left][None, :, :]
-            ok = np.count_nonzero(x == 0, axis=2) >= least
-            if ok.any():
-                i, j = np.nonzero(ok)
-                far = np.bitwise_count(x[i, j]).sum(axis=1, dtype=np.int32) > most
-                ok[i[far], j[far]] = False
+            ok = linked(part, left)
             hit = ok.any(axis=0)
             if hit.any():
                 a_out.append(part[ok.argmax(axis=0)[hit]])
                 b_out.append(left[hit])
                 front = np.concatenate((front, left[hit]))
                 left = left[~hit]
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(a_out), np.concatenate(b_out)) if a_out else (none, none)
+    return np.concatenate(a_out), np.concatenate(b_out)
 
 
 def cells(size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -110,7 +103,16 @@ class Near:
         self.most, self.least = most, least
 
     def __call__(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return forest(codes, self.most, self.least)
+        def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            x = codes[a][:, None, :] ^ codes[b][None, :, :]
+            ok = np.count_nonzero(x == 0, axis=2) >= self.least
+            if ok.any():
+                i, j = np.nonzero(ok)
+                far = np.bitwise_count(x[i, j]).sum(axis=1, dtype=np.int32) > self.most
+                ok[i[far], j[far]] = False
+            return ok
+
+        return forest(len(codes), linked, codes.shape[1])
 
     def two(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         z = x ^ y
@@ -130,7 +132,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        e = table(small.distinct(), "edges")
+        last, e = e, table(small.distinct(), "edges")
+        deleted(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             break
