@@ -8,7 +8,7 @@ words can be cut out of the text, and documents of which too much is hit can be
 Defined results: a null text, or one without words, has no words and no hits; an item without words never
 occurs; rows of the same doc_id are judged one by one; items of the same item_id count once; an
 item of a null item_id hits, but is not among the items named, and the query op10 leaves it out as its SQL does; an empty
-benchmark leaves all documents as they are; a column of any other name is carried along untouched.
+benchmark leaves all documents as they are; `decontaminate` carries columns of any other name along untouched.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, session, table, utf8
+from .common import release, session, table, unused, utf8
 
-#: Bytes of item texts in one automaton. Larger benchmarks are split by item into several, applied one after another.
-AUTOMATON_BYTES = 32 << 20
+#: Bytes of item texts in one automaton, which takes some 100 times as many. Larger benchmarks are split by item into several,
+#: built and applied one after another; the results are the same.
+AUTOMATON_BYTES = 4 << 20
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _CLEAR = bytes(32 if x == 32 else 120 for x in _TABLE)
@@ -163,51 +164,75 @@ class Automaton:
         return spans, found
 
 
-def _automata(spark: SparkSession, benchmark: DataFrame, window: int) -> list:
-    """Broadcasts of automata, each of items of at most AUTOMATON_BYTES in all (or of one item)."""
+def _automata(spark: SparkSession, benchmark: DataFrame, window: int) -> Iterator:
+    """Broadcasts of automata, each of items of about AUTOMATON_BYTES in all (or of one item), made when asked for."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), utf8().alias("text")).distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-total // AUTOMATON_BYTES) or 1
-    out = []
     for k in range(parts):
-        part = items.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == k) if parts > 1 else items
-        out.append(spark.sparkContext.broadcast(Automaton([(r.item, bytes(r.text)) for r in part.collect()], window)))
+        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) if parts > 1 else items
+        yield spark.sparkContext.broadcast(Automaton([(r.item, bytes(r.text)) for r in part.collect()], window)), k + 1 == parts
+
+
+def joined(ranges: list[tuple[int, int]]) -> list[int]:
+    """Overlapping and touching ranges joined: start, end, start, ..."""
+    out: list[int] = []
+    for a, b in sorted(ranges):
+        if out and out[-1] >= a:
+            out[-1] = max(out[-1], b)
+        else:
+            out += a, b
     return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """`docs` with `_spans` (word ranges as start, end, start, ...), `_items` (sorted ids) and `_n_words`; an item without an id hits, but has no id to name."""
-    spark = session(docs.sparkSession)
-    automata = _automata(spark, benchmark, window)
-    out = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
-    for k, shared in enumerate(automata):
-        if k:
-            out = table(out, "decontaminate")
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, spans: str, items: str, n_words: str, last, schema) -> DataFrame:
+    """`docs` after one pass for each automaton: `last` makes the rows of `schema` from a batch and its words, ranges and items.
+
+    All passes but the last leave ranges and items in columns of the given names.
+    """
+    out = docs
+    held = {n_words: "long", spans: "array<int>", items: "array<string>"}
+    for shared, final in _automata(session(docs.sparkSession), benchmark, window):
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, final=final) -> Iterator[pa.RecordBatch]:
             release()
             auto = shared.value
             for batch in batches:
-                n, spans, items = [], [], []
-                for text, had, names in zip(batch.column("text").cast(pa.binary()), batch.column("_spans"), batch.column("_items"), strict=True):
+                before = spans in batch.schema.names
+                n, ranges, names = [], [], []
+                for i, text in enumerate(batch.column("text").cast(pa.binary())):
                     words = words_of(text.as_py() or b"")
                     got, found = auto.scan(words)
-                    had = had.as_py()
-                    ranges = sorted([*got, *zip(had[::2], had[1::2], strict=True)])
-                    joined: list[list[int]] = []
-                    for a, b in ranges:
-                        if joined and joined[-1][1] >= a:
-                            joined[-1][1] = max(joined[-1][1], b)
-                        else:
-                            joined.append([a, b])
+                    if before:
+                        had = batch.column(spans)[i].as_py()
+                        got = [*got, *zip(had[::2], had[1::2], strict=True)]
+                        found = found.union(batch.column(items)[i].as_py())
                     n.append(len(words))
-                    spans.append([x for r in joined for x in r])
-                    items.append(sorted(found.union(names.as_py())))
-                new = {"_n_words": pa.array(n, pa.int64()), "_spans": pa.array(spans, pa.list_(pa.int32())), "_items": pa.array(items, pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(batch.schema.names)], names=batch.schema.names)
+                    ranges.append(joined(got))
+                    names.append(sorted(found))
+                if final:
+                    yield last(batch, n, ranges, names)
+                else:
+                    new = {n_words: pa.array(n, pa.int64()), spans: pa.array(ranges, pa.list_(pa.int32())), items: pa.array(names, pa.list_(pa.string()))}
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c not in new), *new.values()], names=[*(c for c in batch.schema.names if c not in new), *new])
 
-        out = out.mapInArrow(scan, out.schema)
-    return out
+        if final:
+            return out.mapInArrow(scan, schema)
+        out = table(out.mapInArrow(scan, docs.withColumns({c: F.lit(None).cast(t) for c, t in held.items()}).schema), "decontaminate")
+    raise AssertionError("there is an automaton even of no items")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """`docs` with `_spans` (word ranges as start, end, start, ...), `_items` (sorted ids) and `_n_words`, in the place of columns of these names; an item without an id hits, but has no id to name."""
+    own = docs.drop("_n_words", "_spans", "_items")
+    kept = own.columns
+    schema = own.withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")}).schema
+
+    def last(batch: pa.RecordBatch, n: list, ranges: list, names: list) -> pa.RecordBatch:
+        new = [pa.array(n, pa.int64()), pa.array(ranges, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], names=schema.names)
+
+    return _scanned(own, benchmark, window, "_spans", "_items", "_n_words", last, schema)
 
 
 def cut(text: bytes, spans: list[int]) -> bytes:
@@ -236,25 +261,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_w
     `n_chars`, where there is one, follows the text.
     """
     names = docs.columns
-    found = matches(docs, benchmark, window)
-    schema = docs.schema
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, texts = [], []
-            for text, n, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_n_words").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
-                hit = sum(spans[1::2]) - sum(spans[::2])
-                long = [x for a, b in zip(spans[::2], spans[1::2], strict=True) if b - a > max_words for x in (a, b)]
-                new = cut(text, long) if long else text
-                keep.append(not hit or (hit <= max_coverage * n and bool(new.strip())))
-                texts.append(new)
-            new = {"text": pa.array(texts, pa.binary()).cast(pa.string())}
-            batch = pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
-            yield batch.filter(pa.array(keep))
-
-    out = found.mapInArrow(apply, schema)
+
+    def last(batch: pa.RecordBatch, n: list, ranges: list, _: list) -> pa.RecordBatch:
+        keep, texts = [], []
+        for text, words, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), n, ranges, strict=True):
+            hit = sum(spans[1::2]) - sum(spans[::2])
+            long = [x for a, b in zip(spans[::2], spans[1::2], strict=True) if b - a > max_words for x in (a, b)]
+            new = cut(text, long) if long else text
+            keep.append(not hit or (hit <= max_coverage * words and bool(new.strip())))
+            texts.append(new)
+        new_text = pa.array(texts, pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([new_text if c == "text" else batch.column(c) for c in names], names=names).filter(pa.array(keep, pa.bool_()))
+
+    out = _scanned(docs, benchmark, window, *unused(names, "spans", "items", "n_words"), last, docs.schema)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).cast(schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).cast(docs.schema["n_chars"].dataType))
     return out.select(*names)
 
 
