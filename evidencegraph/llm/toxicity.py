@@ -3,12 +3,13 @@
 A document is the set of its hashed terms: words and the beginnings of words; neighbouring words are no
 terms of their own. The machine adds to the linear weights an inner product of latent vectors for every
 pair of terms, so that it learns that an insult beside a mention of a group weighs more than both alone.
-It is trained here by logistic loss on a bounded sample of labelled rows; a calibrated scale and offset
-turn the margin into a probability.
+Terms that go with the label enter it, and terms of which a pair goes with the label beyond what both do alone, so
+that a pair whose halves mean nothing is learned too. It is trained here by logistic loss on a bounded sample of
+labelled rows; a calibrated scale and offset turn the margin into a probability.
 
 Defined results: null and empty texts get the score of no terms, below every threshold; labels that are
 null, or of documents that don't exist, are not learned from; where a document has several labels the
-highest counts; without any label of both kinds the score is 0 for all; repeated rows get equal scores; an
+highest counts; of rows of one doc_id one is learned from, that of the least hash of its text; without any label of both kinds the score is 0 for all; repeated rows get equal scores; an
 empty table gives an empty result; other columns are never inputs and are carried along where asked.
 """
 
@@ -24,15 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, session, slices, utf8
+from .common import release, session, slices, unused, utf8
 
 #: Labelled rows that are learned from at most: those of the lowest hash of doc_id.
 SAMPLE = 12_000
 BITS, FACTORS, EPOCHS, SEED = 18, 8, 30, 7
 #: Bytes of text that are scored at a time; each takes some 70 bytes of terms and vectors.
 SLICE_BYTES = 512 << 10
-#: Terms enter the machine if their G-test against the label reaches this.
-TELLING = 14.0
+#: Terms enter the machine if their G-test against the label reaches this, or if with another one it reaches PAIR_TELLING beyond both alone.
+TELLING, PAIR_TELLING = 14.0, 40.0
+#: Terms of which pairs are tested at most: those in the most documents of the sample.
+PAIR_TERMS = 1024
 
 _SPLIT = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -84,8 +87,13 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.margins(flat, n) + self.offset, -40, 40)))
 
 
+def _g(cells: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Twice the sum of observed times the logarithm of observed to expected."""
+    return sum(np.where(o > 0, 2 * o * np.log(np.maximum(o, 1e-12) / np.maximum(e, 1e-12)), 0) for o, e in cells)
+
+
 def telling(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Which terms go with a label more than chance explains."""
+    """Which terms go with a label more than chance explains, alone or as one of a pair."""
     size = 1 << BITS
     pos = np.zeros(size)
     all_ = np.zeros(size)
@@ -93,10 +101,37 @@ def telling(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
         all_[a] += 1
         if y:
             pos[a] += 1
-    n, p = len(docs), max(1.0, float(labels.sum()))
-    cells = [(pos, all_ * p / n), (all_ - pos, all_ * (n - p) / n), (p - pos, (n - all_) * p / n), (n - all_ - p + pos, (n - all_) * (n - p) / n)]
-    g = sum(np.where(o > 0, 2 * o * np.log(np.maximum(o, 1e-12) / np.maximum(e, 1e-12)), 0) for o, e in cells)
-    return (g >= TELLING) & (all_ >= 3)
+    n, p = len(docs), float(labels.sum())
+    share = max(1.0, p) / n
+
+    def alone(pos: np.ndarray, all_: np.ndarray) -> np.ndarray:
+        return _g([(pos, all_ * share), (all_ - pos, all_ * (1 - share)), (p - pos, (n - all_) * share), (n - all_ - p + pos, (n - all_) * (1 - share))])
+
+    use = (alone(pos, all_) >= TELLING) & (all_ >= 3)
+    some = np.argsort(-all_, kind="stable")[:PAIR_TERMS]
+    some = np.sort(some[(all_[some] >= 8) & (all_[some] < n)])
+    at = np.full(size, -1)
+    at[some] = np.arange(len(some))
+    both, good = np.zeros((len(some),) * 2, np.float32), np.zeros((len(some),) * 2, np.float32)
+    for lo in range(0, n, 2048):
+        part = docs[lo : lo + 2048]
+        x = np.zeros((len(part), len(some)), np.float32)
+        for i, a in enumerate(part):
+            held = at[a]
+            x[i, held[held >= 0]] = 1
+        both += x.T @ x
+        toxic = x[labels[lo : lo + 2048] == 1]
+        good += toxic.T @ toxic
+    single, count, hit = alone(pos[some], all_[some]), all_[some], pos[some]
+    for i in range(len(some)):
+        # the four cells of having the one and the other, each by label
+        cells = [(both[i], good[i]), (count[i] - both[i], hit[i] - good[i]), (count - both[i], hit - good[i]), (n - count[i] - count + both[i], p - hit[i] - hit + good[i])]
+        joint = _g([z for all_in, pos_in in cells for z in ((pos_in, all_in * share), (all_in - pos_in, all_in * (1 - share)))])
+        paired = np.flatnonzero(joint - single - single[i] >= PAIR_TELLING)
+        if len(paired):
+            use[some[i]] = True
+            use[some[paired]] = True
+    return use
 
 
 def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Machine:
@@ -168,15 +203,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | N
         release()
         terms = Terms()
         for batch in batches:
-            sets = [sorted(terms.of(t.as_py())) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.list_(pa.int32()))], names=["h", "doc_id", "toxic", "terms"])
+            texts = batch.column("text").to_pylist()
+            sets = [sorted(terms.of(t)) for t in texts]
+            order = pa.array(np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], order, pa.array(sets, pa.list_(pa.int32()))], names=["h", "doc_id", "toxic", "at", "terms"])
 
-    got = rows.mapInArrow(hashed, "h long, doc_id long, toxic int, terms array<int>").toArrow()
+    each = rows.mapInArrow(hashed, "h long, doc_id long, toxic int, at long, terms array<int>")
+    got = each.groupBy("h", "doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("terms", "at").alias("terms")).toArrow()  # a row for each of the sample
     sets = {}
     for h, doc, y, terms in zip(*(got.column(c).to_numpy() for c in ("h", "doc_id", "toxic")), got.column("terms"), strict=True):
-        key, new = (h, doc), terms.values.to_numpy().astype(np.int64)
-        if key not in sets or new.tolist() < sets[key][1].tolist():  # rows of one doc_id: the same one each time
-            sets[key] = y, new
+        sets[h, doc] = y, terms.values.to_numpy().astype(np.int64)
     order = sorted(sets)
     y = np.array([sets[k][0] for k in order])
     arrays = [sets[k][1] for k in order]
@@ -217,7 +253,7 @@ def scored(docs: DataFrame, machine: Machine | None, name: str = "score") -> Dat
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents whose score is below the threshold, with the columns they came with."""
-    score = "_score"
+    (score,) = unused(docs.columns, "score")
     return scored(docs, fit(docs, labels), score).filter(F.col(score) < threshold).select(*docs.columns)
 
 
