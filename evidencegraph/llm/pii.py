@@ -1,10 +1,11 @@
 """Personal data by candidate generators and gradient-boosted trees, in DataFrame functions only.
 
 Base spans follow fixed patterns and are always kept. Besides, generators of high recall propose spans that
-may overlap: numbers in the shapes of phones and cards, addresses with `at` and `dot` spelled out, and
-credentials. Boosted trees score each by its format and by the words before it, and each kind has a
-threshold that is calibrated on held-out examples. The trees are trained here on generated examples
-(EXAMPLES of them, a bound that is a parameter), and run as Column expressions.
+may overlap: numbers in the shapes of phones, of accounts and of persons' numbers, addresses with `at` and `dot` spelled
+out, and credentials. Boosted trees score each by its format and by the words before it, and each kind has a
+threshold that is calibrated on held-out examples; of accepted spans that overlap, the one of the higher score stays, and
+none that touches a base span. The trees are trained here on generated examples (EXAMPLES of them, a bound that is a
+parameter), and run as Column expressions. Names of persons and postal addresses are not looked for.
 
 Positions are code points, ends exclusive. Patterns use possessive repeats and look behind, which match what the
 plain ones match, as a run of characters fails from each of its places if it fails from the first.
@@ -23,7 +24,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+from .common import unused
+
+KINDS = ("email", "ip", "card", "phone", "secret", "account", "number")
+#: Kinds that generators propose.
+ADDED = ("phone", "email", "secret", "account", "number")
 _LOCAL = "[A-Za-z0-9._%+-]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -31,18 +36,28 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[ -]?[0-9]){11,}+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Generators: kind, pattern, and a cheaper pattern without which it can't match.
-NUMBER = r"(?<![0-9A-Za-z.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-]|00[0-9]{1,3}[ .-])[0-9][0-9 .-]{4,18}[0-9](?![0-9A-Za-z])"
-SPELLED = rf"(?<!{_LOCAL}){_LOCAL}++ ?[(\[{{](?:at|AT)[)\]}}] ?[A-Za-z0-9-]++(?: ?(?:[(\[{{](?:dot|DOT)[)\]}}]|\.) ?[A-Za-z0-9-]++)++"
-CREDENTIAL = r"(?<![A-Za-z0-9])(?:(?i:password|passwd|pwd|token|secret|api_key|apikey) ?[=:] ?\"?[A-Za-z0-9+/_-]{6,}\"?|AKIA[0-9A-Z]{16})(?![A-Za-z0-9])"
+NUMBER = r"(?<![0-9A-Za-z.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-]|00[0-9]{1,3}[ .-]|\(?0[0-9]{1,4}\)?[ /.-])[0-9][0-9 .-]{4,18}[0-9](?![0-9A-Za-z])"
+SPELLED = rf"(?<!{_LOCAL}){_LOCAL}++ ?(?:[(\[{{](?:at|AT)[)\]}}] ?|(?<= )at )[A-Za-z0-9-]++(?: ?(?:[(\[{{](?:dot|DOT)[)\]}}] ?|\. ?|(?<= )dot )[A-Za-z0-9-]++)++"
+_WORDS = "password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|auth[_-]?key"
+#: How keys of well-known services begin.
+_MARKS = "AKIA[0-9A-Z]{16}|gh[pousr]_|github_pat_|glpat-|sk-|pk_live_|sk_live_|xox[abprs]-|AIza|eyJ|-----BEGIN"
+CREDENTIAL = (
+    rf"(?<![A-Za-z0-9])(?:(?i:{_WORDS}) ?[=:] ?\"?[A-Za-z0-9+/_.~!$%^&*-]{{6,}}\"?|(?i:bearer) [A-Za-z0-9._~+/-]{{16,}}=*|AKIA[0-9A-Z]{{16}}"
+    r"|(?:gh[pousr]_|github_pat_|glpat-|sk-|[ps]k_live_|xox[abprs]-|AIza)[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]*PRIVATE KEY-----)(?![A-Za-z0-9])"
+)
+ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+PERSON = r"(?<![0-9A-Za-z.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 GENERATORS = (
-    ("phone", NUMBER, r"[0-9)][ .-]?[0-9]{3}[ .-][0-9]"),
-    ("email", SPELLED, r"[(\[{](?:at|AT)[)\]}]"),
-    ("secret", CREDENTIAL, r"(?i:password|passwd|pwd|token|secret|api_key|apikey) ?[=:]|AKIA[0-9A-Z]{16}"),
+    ("phone", NUMBER, r"[0-9)][ /.-]?[0-9]{2,}[ .-]?[0-9]"),
+    ("email", SPELLED, r"[(\[{](?:at|AT)[)\]}]| at "),
+    ("secret", CREDENTIAL, rf"(?i:{_WORDS}) ?[=:]|(?i:bearer) |{_MARKS}"),
+    ("account", ACCOUNT, r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"),
+    ("number", PERSON, r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
 )
 CONTEXT = 24
 #: Generated examples that the trees learn from.
-EXAMPLES = 4000
-FEATURES = ("length", "digits", "signs", "letters", "upper", "groups", "paren", "quote", "luhn", "phone_word", "mail_word", "count_word", "joined", "tail", "breaks", "phone", "email", "secret")
+EXAMPLES = 8000
+FEATURES = ("length", "digits", "signs", "letters", "upper", "groups", "paren", "quote", "luhn", "phone_word", "mail_word", "count_word", "joined", "tail", "breaks", "mark", "check", "spelled", "zero", "dots", "last", *ADDED)
 
 
 def digits_of(m: Column) -> Column:
@@ -87,6 +102,25 @@ def base_spans(text: Column) -> list[Column]:
 _PHONE_WORD = "(?:phone|tel|call|mobile|fax|cell|whatsapp|sms)"
 _MAIL_WORD = "(?:mail|contact|write|address)"
 _COUNT_WORD = "(?:order|invoice|no|id|isbn|page|version|serial|item|art|ref|nr)[.:# ]*$"
+_MARK = rf"^(?:{_MARKS}|(?i:bearer) )"
+_SPELLED = r" ?[(\[{](?:at|AT)[)\]}]| (?:dot|DOT) "
+_CODE = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def check(m: Column) -> Column:
+    """The remainder by 97 of an account's number, letters as two digits, its first four characters last."""
+    x = F.regexp_replace(m, "[^A-Z0-9]", "")
+    moved = F.split(F.concat(F.substring(x, F.lit(5), F.length(x)), F.substring(x, 1, 4)), "")
+    value = lambda c: F.position(c, F.lit(_CODE)) - 1
+    return F.aggregate(moved, F.lit(0), lambda s, c: F.when(c == "", s).otherwise((s * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97))
+
+
+def check_of(m: str) -> int:
+    x = re.sub("[^A-Z0-9]", "", m)
+    total = 0
+    for c in x[4:] + x[:4]:
+        total = (total * (100 if c.isalpha() else 10) + _CODE.index(c)) % 97
+    return total
 
 
 def features(m: Column, before: Column, kind: str) -> dict[str, Column]:
@@ -109,7 +143,13 @@ def features(m: Column, before: Column, kind: str) -> dict[str, Column]:
         "joined": number(F.rlike(before, F.lit("[A-Za-z0-9_]$"))),
         "tail": F.length(F.regexp_extract(m, "([A-Za-z0-9]+)[^A-Za-z0-9]*$", 1)),
         "breaks": F.length(m) - F.length(F.regexp_replace(m, r"\. ", " ")),
-        **{k: F.lit(int(k == kind)) for k in ("phone", "email", "secret")},
+        "mark": number(F.rlike(m, F.lit(_MARK))),
+        "check": number(check(m) == 1) if kind == "account" else F.lit(0),
+        "spelled": F.size(F.regexp_extract_all(m, F.lit(_SPELLED), F.lit(0))),
+        "zero": number(F.rlike(m, F.lit(r"^\(?0"))),
+        "dots": F.length(m) - F.length(F.replace(m, F.lit("."), F.lit(""))),
+        "last": F.length(F.regexp_extract(m, "([0-9]*)$", 1)),
+        **{k: F.lit(int(k == kind)) for k in ADDED},
     }
 
 
@@ -134,7 +174,13 @@ def features_of(m: str, before: str, kind: str) -> list[float]:
         "joined": bool(re.search("[A-Za-z0-9_]$", before)),
         "tail": len(x.group(1)) if (x := re.search("([A-Za-z0-9]+)[^A-Za-z0-9]*$", m)) else 0,
         "breaks": m.count(". "),
-        **{k: k == kind for k in ("phone", "email", "secret")},
+        "mark": bool(re.search(_MARK, m)),
+        "check": kind == "account" and check_of(m) == 1,
+        "spelled": len(re.findall(_SPELLED, m)),
+        "zero": bool(re.search(r"^\(?0", m)),
+        "dots": m.count("."),
+        "last": len(re.search("[0-9]*$", m).group()),
+        **{k: k == kind for k in ADDED},
     }
     return [float(values[f]) for f in FEATURES]
 
@@ -145,28 +191,45 @@ def examples(n: int = EXAMPLES, seed: int = 11) -> tuple[list[str], np.ndarray,
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     w = lambda a, b: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(a, b)))
     kinds, x, y = [], [], []
+    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    upper, word, base = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     for _ in range(n):
-        kind = r.choice(("phone", "phone", "email", "secret"))
+        kind = r.choice(("phone", "phone", "phone", "email", "email", "secret", "secret", "account", "number"))
         good = r.random() < 0.5
         before = f"{w(2, 8)} {w(2, 8)} "
         s = r.choice("-. ")
         if kind == "phone" and good:
-            m = r.choice((f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}{s}{d(3)}{s}{d(4)}", f"00{d(2)}{s}{d(3)}{s}{d(3)}{s}{d(3)}"))
+            m = r.choice((f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}{s}{d(3)}{s}{d(4)}", f"00{d(2)}{s}{d(3)}{s}{d(3)}{s}{d(3)}", f"0{d(r.randint(2, 4))}{r.choice(' /-')}{d(r.randint(6, 8))}", f"(0{d(r.randint(2, 3))}) {d(3)} {d(r.randint(3, 5))}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}"))
             before += r.choice(("", "phone: ", "call ", "tel. ", "mobile "))
         elif kind == "phone":
-            m = r.choice((f"{d(3)}.{d(2)}", f"{d(3)} {d(3)} {d(1)}", f"{d(3)}-{d(5)}-{d(1)}", f"{d(3)} {d(2)} {d(2)} {d(2)} {d(2)} {d(4)} {d(3)}", f"{d(3)}-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(3)}.{d(3)}.{d(3)}", f"{d(3)} {d(9)} {d(4)}"))
+            m = r.choice((f"{d(3)}.{d(2)}", f"{d(3)} {d(3)} {d(1)}", f"{d(3)}-{d(5)}-{d(1)}", f"{d(3)} {d(2)} {d(2)} {d(2)} {d(2)} {d(4)} {d(3)}", f"{d(3)}-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(3)}.{d(3)}.{d(3)}", f"{d(3)} {d(9)} {d(4)}", f"0{d(1)}.{d(2)}.{d(4)}", f"0{d(1)}-{d(2)}-{d(2)} {d(2)}.{d(2)}", f"0{d(1)}.{d(6)}", f"0{d(1)} {d(12)}"))
             before += r.choice(("", "", "order ", "isbn ", "id ", "page ", "ref: "))
         elif kind == "email" and good:
-            m = f"{r.choice((w(2, 9) + '.', w(1, 4) + d(2), ''))}{w(2, 9)} {r.choice(('(at)', '[at]', '{at}'))} {w(3, 9)}{r.choice((' [dot] ', ' (dot) ', '.'))}{r.choice(('com', 'org', 'net', 'de', 'info'))}"
+            at, dot = r.choice(((r.choice((" (at) ", " [at] ", " {at} ", "(at)", "[at]")), r.choice((" (dot) ", " [dot] ", ".", "(dot)", ".", "."))), (" at ", " dot ")))
+            m = f"{r.choice((w(2, 9) + '.', w(1, 4) + d(2), ''))}{w(2, 9)}{at}{r.choice((w(3, 9), w(3, 9), w(2, 6) + dot + w(2, 6)))}{dot}{r.choice(('com', 'org', 'net', 'de', 'info'))}"
             before += r.choice(("", "mail: ", "contact ", "write to "))
         elif kind == "email":
-            m = f"{w(1, 9)} {r.choice(('(at)', '[at]'))} {w(1, 9)}. {w(5, 12)}"
+            m = r.choice((f"{w(1, 9)} {r.choice(('(at)', '[at]'))} {w(1, 9)}. {w(5, 12)}", f"{w(1, 9)} at {w(1, 9)}. {w(1, 9)}", f"{w(1, 9)} at {w(1, 9)}.{w(1, 9)}", f"{w(1, 9)} at {d(1)}. {w(1, 9)}"))
+        elif kind == "account" and good:
+            own = pick(upper, 2) + "00" + r.choice((pick("0123456789", r.randint(10, 24)), pick(base, r.randint(12, 24))))
+            own = own[:2] + f"{98 - check_of(own):02d}" + own[4:]
+            m = r.choice((own, " ".join(own[i : i + 4] for i in range(0, len(own), 4))))
+        elif kind == "account":
+            m = pick(upper, 2) + d(2) + r.choice((pick(base, 8), pick(base, 12), " " + pick(upper, 4) + " " + pick(upper, 4), pick("0123456789", 16)))
+            if check_of(m) == 1:
+                continue
+        elif kind == "number" and good:
+            m = f"{r.randint(1, 899):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}"
+            before += r.choice(("", "", "ssn ", "number: ", "social security "))
+        elif kind == "number":
+            m = f"{d(3)}-{d(2)}-{d(4)}"
+            before += r.choice(("order ", "isbn ", "id ", "page ", "ref: ", "item ", "serial "))
         elif good:
             code = "".join(r.choice(r.choice(("0123456789abcdef", "ABCDEFGHJKLMNPQRSTUVWXYZ23456789", "abcdefghijklmnopqrstuvwxyz0123456789+/"))) for _ in range(r.choice((16, 20, 24, 32, 40, 64)))) + d(1)
-            key = r.choice(("token", "secret", "api_key", "apikey", "TOKEN", "Secret"))
-            m = r.choice((f"{r.choice(('password', 'pwd', 'passwd'))}{r.choice(('=', ': ', ' = '))}{w(3, 8)}{d(r.randint(1, 4))}", f'{key} = "{code}"', f"{key}={code}", f"{key}: {code}", f"AKIA{d(8)}{w(8, 8).upper()}"))
+            key = r.choice(("token", "secret", "api_key", "apikey", "TOKEN", "Secret", "access_key", "api-key", "auth_key"))
+            m = r.choice((f"{r.choice(('password', 'pwd', 'passwd', 'Password', 'passphrase'))}{r.choice(('=', ': ', ' = '))}{w(3, 8)}{r.choice(('', '!', '$', '_'))}{d(r.randint(1, 4))}", f'{key} = "{code}"', f"{key}={code}", f"{key}: {code}", f"AKIA{pick(base, 16)}", f"{r.choice(('ghp_', 'gho_', 'github_pat_', 'glpat-', 'sk-', 'sk_live_', 'pk_live_', 'xoxb-', 'AIza'))}{pick(word, r.randint(20, 40))}", f"{r.choice(('Bearer', 'bearer'))} {pick(word, r.randint(20, 60))}", f"eyJ{pick(word, 20)}.{pick(word, 30)}.{pick(word, 25)}", f"-----BEGIN {r.choice(('', 'RSA ', 'EC ', 'OPENSSH '))}PRIVATE KEY-----"))
         else:
-            m = r.choice((f"token: {w(6, 12)}", f"secret = {w(6, 12)}", f"password: {w(6, 10)}", f"token = {w(6, 8)}", f'Secret: "{w(6, 12)}"', f"TOKEN: {w(6, 14).upper()}", f"secret: {w(6, 14)}-{w(2, 8)}"))
+            m = r.choice((f"token: {w(6, 12)}", f"secret = {w(6, 12)}", f"password: {w(6, 10)}", f"token = {w(6, 8)}", f'Secret: "{w(6, 12)}"', f"TOKEN: {w(6, 14).upper()}", f"secret: {w(6, 14)}-{w(2, 8)}", f"bearer {w(16, 24)}", f"sk-{w(4, 8)}-{w(4, 8)}-{w(4, 8)}"))
         if kind == "phone" and not good and len(re.sub("[^0-9]", "", m)) == 10 and re.fullmatch(r"[0-9]{3}.[0-9]{3}.[0-9]{4}", m):
             continue
         kinds.append(kind)
@@ -175,7 +238,7 @@ def examples(n: int = EXAMPLES, seed: int = 11) -> tuple[list[str], np.ndarray,
     return kinds, np.array(x), np.array(y)
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 12, depth: int = 3, rate: float = 0.4) -> list:
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 16, depth: int = 4, rate: float = 0.4) -> list:
     """Gradient-boosted trees of logistic loss: a tree is a value, or (feature, bound, left, right)."""
 
     def grow(rows: np.ndarray, level: int):
@@ -217,7 +280,7 @@ def model(n: int = EXAMPLES) -> tuple[list, dict[str, float]]:
     trees = boost(x[~held], y[~held])
     score = np.array([sum(value_of(t, row) for t in trees) for row in x[held]])
     limits = {}
-    for kind in ("phone", "email", "secret"):
+    for kind in ADDED:
         own = np.array([k == kind for k, h in zip(kinds, held, strict=True) if h])
         s, good = score[own], y[held][own]
         fit = [b for b in np.unique(s) if good[s >= b].mean() >= 0.98]
@@ -233,36 +296,45 @@ def compiled(tree, by_name: dict[str, Column]) -> Column:
 
 
 def added_spans(text: Column, base: Column) -> Column:
-    """Candidates of all generators that the trees accept and that no base span touches."""
+    """Candidates of all generators that the trees accept and that no base span touches; of those that overlap the one of the higher score."""
     trees, limits = model()
     out = []
     for kind, pattern, guard in GENERATORS:
         limit = limits[kind]
         found = spans(text, pattern, kind, F.rlike(text, F.lit(guard)))
-        free = F.filter(found, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
 
-        def accepted(c: Column) -> Column:
+        def scored(c: Column) -> Column:  # called at once, below
             begin = F.greatest(F.lit(0), c["start"] - CONTEXT)
-            by_name = features(c["match"], F.substring(text, begin + 1, c["start"] - begin), kind)
+            by_name = features(c["match"], F.substring(text, begin + 1, c["start"] - begin), kind)  # noqa: B023
             # features once for each candidate, then the trees over their values
             values = F.struct(*[v.cast("double").alias(k) for k, v in by_name.items()])
             scores = F.transform(F.array(values), lambda v: sum((compiled(t, {f: v[f] for f in FEATURES}) for t in trees[1:]), compiled(trees[0], {f: v[f] for f in FEATURES})))
-            return scores[0] >= limit
+            return F.struct(c["start"].alias("start"), scores[0].alias("score"), c.alias("span"))
+
+        out.append(F.filter(F.transform(found, scored), lambda c: c["score"] >= limit))  # noqa: B023
+    free = F.filter(F.array_sort(F.concat(*out)), lambda c: ~F.exists(base, lambda b: (b["start"] < c["span"]["end"]) & (c["start"] < b["end"])))
+    kind_of = "array<struct<start:int,score:double,span:struct<start:int,rank:int,end:int,kind:string,match:string>>>"
+
+    def step(kept: Column, c: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        before = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+        apart = last.isNull() | (last["span"]["end"] <= c["start"])
+        return F.when(apart, F.concat(kept, F.array(c))).when(c["score"] > last["score"], F.concat(before, F.array(c))).otherwise(kept)
 
-        out.append(F.filter(free, accepted))
-    return F.concat(*out)
+    return F.aggregate(free, F.array().cast(kind_of), step, lambda kept: F.transform(kept, lambda c: c["span"]))
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """`docs` with arrays `_base` and `_added` of spans (start, rank, end, kind, match)."""
+def find(docs: DataFrame, base: str = "_base", added: str = "_added") -> DataFrame:
+    """`docs` with arrays `base` and `added` of spans (start, rank, end, kind, match), in the place of columns of these names."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("_base", F.concat(*base_spans(text)))
-    return out.withColumn("_added", added_spans(text, F.col("_base")))
+    out = docs.withColumn(base, F.concat(*base_spans(text)))
+    return out.withColumn(added, added_spans(text, F.col(base)))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with each span, or run of overlapping spans, replaced by its first kind in brackets."""
-    span = F.array_sort(F.concat("_base", "_added"))
+    names = unused(docs.columns, "base", "added")
+    span = F.array_sort(F.concat(*names))
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
@@ -272,7 +344,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     new = F.aggregate(span, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return find(docs).withColumn("text", F.when(F.size(span) > 0, new).otherwise(F.col("text"))).select(*docs.columns)
+    return find(docs, *names).withColumn("text", F.when(F.size(span) > 0, new).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def listed(of: Column) -> Column:
@@ -280,14 +352,14 @@ def listed(of: Column) -> Column:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans of every document; n_added and n_spans: spans beyond the base ones, and all."""
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = map(count, KINDS[:4])
-    return found.select("doc_id", *counts, F.sha2(listed(F.col("_base")).cast("binary"), 256).alias("base_sha256"), listed(F.concat("_base", "_added")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("_base")).cast("binary"), 256).alias("base_sha256"), listed(F.concat("_base", "_added")).alias("spans"), F.size("_added").cast("long").alias("n_added"), (F.size("_base") + F.size("_added")).cast("long").alias("n_spans"))
 
 
 def brute_force(text: str | None) -> list[tuple[str, int, int]]:
