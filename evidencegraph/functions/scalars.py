@@ -47,12 +47,13 @@ def stripped(c: Column) -> Column:
 
 
 def normalized_time(raw: Column) -> Column:
-    """FN-1: epoch seconds, epoch milliseconds or ISO text as `yyyy-MM-dd HH:mm:ss` in UTC; what is neither stays as it is, null and empty are empty."""
+    """FN-1: epoch seconds and milliseconds in UTC, or ISO text in its own zone, as `yyyy-MM-dd HH:mm:ss`; what is neither stays as it is, null and empty are empty."""
     digits = F.rlike(raw, F.lit("^[0-9]{1,18}$"))
     number = F.try_to_number(raw, F.lit("999999999999999999")).cast("long")
     seconds = F.when(number > EPOCH_MILLIS_FROM, F.floor(number / 1000)).otherwise(number)
-    iso = F.rlike(raw, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?)?$"))
-    parsed = F.when(digits, F.timestamp_seconds(seconds)).when(iso, F.try_to_timestamp(raw))
+    pattern = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?)?)((?<=:.{2,12})(?:Z|[+-][0-9]{2}(?::?[0-9]{2}(?::?[0-9]{2})?)?))?$"
+    local = F.when(F.rlike(raw, F.lit(pattern)), F.regexp_extract(raw, pattern, 1))  # the zone is dropped: a time is shown as it was written
+    parsed = F.when(digits, F.timestamp_seconds(seconds)).otherwise(F.try_to_timestamp(local))
     return F.when(F.coalesce(raw, F.lit("")) == "", "").otherwise(F.coalesce(F.date_format(parsed, STAMP), raw))
 
 
@@ -95,10 +96,11 @@ def tokens(c: Column) -> Column:
 
 
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:
-    """FN-8, FN-10: edits by words. Each row's distinct words become one character each, and characters are compared."""
+    """FN-8, FN-10: edits by words. Each row's distinct words, of which there can be 1,048,575, become one character each, and characters are compared."""
     ref, hyp = tokens(reference), tokens(hypothesis)
     known = F.array_distinct(F.concat(ref, hyp))
-    wide = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex((F.array_position(known, w) + 0x3400).cast("long")), 4, "0")), "UTF-16BE")), "")
+    known = F.when(F.size(known) < 1 << 20, known).otherwise(F.raise_error(F.lit("a text has too many distinct words")).cast("array<string>"))
+    wide = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex((F.array_position(known, w) + 0xFFFF).cast("long")), 8, "0")), "UTF-32")), "")
     distance = F.levenshtein(wide(ref), wide(hyp))
     return F.when(F.size(ref) == 0, F.when(F.size(hyp) == 0, 0.0).otherwise(1.0)).otherwise(distance / F.size(ref))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hours_apart, micros, temporal_weight
-from ..tables import written
+from ..tables import new_folder, written
 
 DAY = 24.0
 
@@ -141,20 +141,26 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def distances(edges: DataFrame, start, rounds: int = 30) -> DataFrame:
-    """node, hops, path from `start`: breadth first, of equally short paths the least one; the frontier joins the edges each round."""
-    ways = both_ways(edges.withColumn("weight", F.lit(1.0))).select("node", "neighbour").distinct()
-    seen = edges.sparkSession.range(1).select(F.lit(start).alias("node"), F.lit(0).alias("hops"), F.array(F.lit(start)).alias("path"))
-    seen = written(seen, "paths")
-    for k in range(1, rounds + 1):
-        front = seen.filter(F.col("hops") == k - 1)
+def distances(edges: DataFrame, start, depth: int | None = None) -> DataFrame:
+    """node, hops, path from `start`, as far as there are paths or up to `depth` hops: breadth first, of equally short paths the least one.
+
+    Each round joins the edges to the last frontier and adds the new one to the table of paths.
+    """
+    spark = edges.sparkSession
+    ways = written(both_ways(edges.withColumn("weight", F.lit(1.0))).select("node", "neighbour").distinct(), "ways")
+    front = spark.range(1).select(F.lit(start).cast(edges.schema["source"].dataType).alias("node"))
+    front = front.withColumn("path", F.array("node"))
+    folder, schema = new_folder(spark, "paths"), front.withColumn("hops", F.lit(0)).select("node", "path", "hops").schema
+    hops = 0
+    while True:
+        front.write.parquet(f"{folder}/hops={hops}")
+        front = spark.read.schema(front.schema).parquet(f"{folder}/hops={hops}")
+        if front.isEmpty() or hops == depth:
+            return spark.read.schema(schema).option("basePath", folder).parquet(folder).select("node", "hops", "path")
+        seen = spark.read.schema(schema).option("basePath", folder).parquet(folder).select("node")
         found = front.join(ways, "node").groupBy(F.col("neighbour").alias("node")).agg(F.min("path").alias("path"))
-        new = found.join(seen.select("node"), "node", "left_anti").select("node", F.lit(k).alias("hops"), F.concat("path", F.array("node")).alias("path"))
-        new = written(new, "front")
-        if new.isEmpty():
-            break
-        seen = written(seen.unionByName(new), "paths")
-    return seen
+        front = found.join(seen, "node", "left_anti").select("node", F.concat("path", F.array("node")).alias("path"))
+        hops += 1
 
 
 def shortest_path(edges: DataFrame, start, end) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import IMAGE_EXTENSIONS, VOICE_EXTENSIONS
+from .order import numbered as by_order
 
 MODALITIES = ("text", "voice", "image")
 
@@ -72,16 +73,11 @@ def derived_probabilities(modality: Column, confidence: Column) -> Column:
 def numbered(entries: DataFrame, modality: str = "modality", order: str = "pos") -> DataFrame:
     """FIL-7: `task_id` from task_0 on, texts first, then voices, then images, each by `order`.
 
-    Numbers are counted in parallel: rows within ranges of the sort order, then the rows of the ranges before.
+    Numbers are counted in parallel.
     """
     rank = F.when(F.col(modality) == "text", 0).when(F.col(modality) == "voice", 1).otherwise(2)
-    rows = entries.withColumn("_rank", rank).repartitionByRange("_rank", order).sortWithinPartitions("_rank", order)
-    rows = rows.withColumn("_part", F.spark_partition_id())
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row for each part
-    own = F.row_number().over(Window.partitionBy("_part").orderBy("_rank", order)) - 1
-    joined = rows.withColumn("_own", own).join(F.broadcast(before), "_part")
-    return joined.withColumn("task_id", F.concat(F.lit("task_"), (F.col("_own") + F.col("_before")).cast("string"))).drop("_rank", "_part", "_own", "_before")
+    rows = by_order(entries.withColumn("_rank", rank), "_rank", order, name="_number")
+    return rows.withColumn("task_id", F.concat(F.lit("task_"), F.col("_number").cast("string"))).drop("_rank", "_number")
 
 
 def messages(rows: DataFrame, *fields: str) -> DataFrame:

@@ -49,6 +49,6 @@ def majority(votes: DataFrame, item: str, label: str, order: str) -> DataFrame:
     return counts.groupBy(item).agg(F.max_by(label, F.struct("n", -F.col("first"))).alias("label"), F.round(F.max("n") / F.sum("n"), 6).alias("confidence"))
 
 
-def ensemble(results: DataFrame, item: str, value: str, weight: str) -> DataFrame:
-    """AGG-8: the value of the greatest weight, the greatest value at ties, and how many answered."""
-    return results.groupBy(item).agg(F.max_by(value, F.struct(weight, value)).alias("picked"), F.count(value).alias("answers"))
+def ensemble(results: DataFrame, item: str, value: str, weight: str, order: str) -> DataFrame:
+    """AGG-8: the value of the greatest weight, the first one (by `order`) at ties, and how many answered."""
+    return results.groupBy(item).agg(F.max_by(value, F.struct(weight, -F.col(order))).alias("picked"), F.count(value).alias("answers"))

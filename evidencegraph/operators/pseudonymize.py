@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions.scalars import keyed_tag
+from ..tables import written
 
 # Surnames, words of addresses and of contexts, and patterns by kind in order of priority.
 SURNAMES = frozenset(
@@ -86,16 +87,34 @@ def rewritten(text: Column, kept: Column, salt: str) -> Column:
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, keyed_tag(s["kind"], s["raw"], salt)).alias("out"))
+        return F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, keyed_tag(F.upper(s["kind"]), s["raw"], salt)).alias("out"))
 
     return F.aggregate(kept, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
-def pseudonymized(rows: DataFrame, salt: str, text: str = "content") -> DataFrame:
-    """PSE-7, PSE-9: `rows` with `text` rewritten, `spans` (kept) and `nested` (number of spans that overlaps cost)."""
+def pseudonymized(rows: DataFrame, salt: str, text: str = "content", seq: str | None = None) -> DataFrame:
+    """PSE-7, PSE-9: `rows` with `text` rewritten, `spans` (kept) and `nested` (number of spans that overlaps cost).
+
+    With `seq`, which names rows and orders them, a value has the tag of the kind it is first seen with, as `mapping` has it;
+    without, that of the kind it has where it stands.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     out = rows.withColumn("_found", found_spans(body)).withColumn("spans", resolved(F.col("_found")))
-    return out.withColumn("nested", F.size("_found") - F.size("spans")).withColumn(text, rewritten(body, F.col("spans"), salt)).drop("_found")
+    out = out.withColumn("nested", F.size("_found") - F.size("spans")).drop("_found")
+    if seq is None:
+        return out.withColumn(text, rewritten(body, F.col("spans"), salt))
+    out = written(out, "spans")
+    several = first_kinds(out, seq).filter("several").select("raw", F.col("kind").alias("first"))
+    own = out.select(seq, F.explode("spans").alias("s")).select(seq, F.col("s.raw").alias("raw")).distinct().join(several, "raw")
+    kinds = own.groupBy(seq).agg(F.map_from_entries(F.collect_list(F.struct("raw", "first"))).alias("_kinds"))
+    tagged = F.transform("spans", lambda s: s.withField("kind", F.coalesce(F.try_element_at("_kinds", s["raw"]), s["kind"])))
+    return out.join(kinds, seq, "left").withColumn(text, rewritten(body, tagged, salt)).drop("_kinds")
+
+
+def first_kinds(rows: DataFrame, seq: str) -> DataFrame:
+    """raw, kind, several: each value with the kind it is first seen with, and whether it has others."""
+    each = rows.select(seq, F.explode("spans").alias("s")).select(F.col("s.raw").alias("raw"), F.col("s.kind").alias("kind"), F.struct(F.col(seq), -F.col("s.start")).alias("at"))
+    return each.groupBy("raw").agg(F.min_by("kind", "at").alias("kind"), (F.min("kind") != F.max("kind")).alias("several"))
 
 
 def mapping(rows: DataFrame, salt: str, seq: str) -> DataFrame:
@@ -103,9 +122,7 @@ def mapping(rows: DataFrame, salt: str, seq: str) -> DataFrame:
 
     A raw value has the kind it is first seen with: by `seq`, and in a text from its end.
     """
-    each = rows.select(seq, F.explode("spans").alias("s")).select(F.col("s.raw").alias("raw"), F.col("s.kind").alias("kind"), F.struct(F.col(seq), -F.col("s.start")).alias("at"))
-    first = each.groupBy("raw").agg(F.min_by("kind", "at").alias("kind"))
-    return first.withColumn("pseudonym", keyed_tag(F.col("kind"), F.col("raw"), salt))
+    return first_kinds(rows, seq).drop("several").withColumn("pseudonym", keyed_tag(F.upper("kind"), F.col("raw"), salt))
 
 
 def statistics(rows: DataFrame, found: DataFrame, text: str = "content") -> DataFrame:
@@ -117,7 +134,7 @@ def statistics(rows: DataFrame, found: DataFrame, text: str = "content") -> Data
 
 def restored(rows: DataFrame, pairs: DataFrame, key: str, text: str = "content") -> DataFrame:
     """PSE-6: tags of `pairs` (pseudonym, raw) in `text` turned back, wherever they stand."""
-    tag = r"\b(?:" + "|".join(PATTERNS) + r")_[0-9a-f]{10}\b"
+    tag = r"\b(?:" + "|".join(PATTERNS).upper() + r")_[0-9a-f]{10}\b"
     used = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({tag})")))).alias("pseudonym"))
     known = used.join(pairs.select("pseudonym", "raw"), "pseudonym").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pseudonym", "raw"))).alias("_pairs"))
     back = F.aggregate("_pairs", F.col(text), lambda t, p: F.replace(t, p["pseudonym"], p["raw"]))

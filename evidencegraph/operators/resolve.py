@@ -15,9 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.similarity import SAME_NAME, SIMILAR_NAME, alignment, block_ratio, edit_ratio, jaccard
+from ..tables import written
 from .graph import components
+from .order import numbered
 
 KEYS = ("phone", "wechat", "idcard", "account")
+#: Keys that a match across modalities compares, under these names only.
+ACROSS = ("phone", "account")
 #: Confidence of a match by each key.
 KEY_CONFIDENCE = {"phone": 1.0, "wechat": 1.0, "idcard": 0.95, "account": 0.9}
 ALIASES = {
@@ -30,9 +34,13 @@ ALIASES = {
 
 
 def with_keys(rows: DataFrame) -> DataFrame:
-    """The first alias of each key that is there and not empty, normalised, as n_phone, n_wechat, n_idcard, n_account, n_name."""
+    """The first alias of each key that is there and not empty, normalised, as n_phone, n_wechat, n_idcard, n_account, n_name.
+
+    Those of ACROSS that stand under the key's own name come as r_phone, r_account too.
+    """
     of = {"phone": S.normalized_phone, "wechat": S.normalized_name, "idcard": S.normalized_idcard, "account": S.normalized_account, "name": S.normalized_name}
     none = F.lit(None).cast("string")
+    rows = rows.withColumns({f"r_{k}": of[k](S.truthy(F.col(k).cast("string"))) if k in rows.columns else none for k in ACROSS})
     return rows.withColumns({f"n_{k}": of[k](F.coalesce(*[S.truthy(F.col(a).cast("string")) for a in ALIASES[k] if a in rows.columns], none)) for k in of})
 
 
@@ -84,14 +92,57 @@ def name_pairs(left: DataFrame, right: DataFrame, key: str = "n_name") -> DataFr
     return pairs.filter(short >= (shorter - 1e-9) * long)
 
 
+#: Edits of two names of a composite of SAME_NAME, at most, by the characters of the longer one: with k edits of n characters and m of the
+#: other the matching-block ratio is 1 - k / (n + m) at most and the edit ratio 1 - k / n, so k (0.5 / (n + m) + 0.3 / n) is 0.15 at most.
+EDITS = (3, 11)
+
+
+def same_name_candidates(left: DataFrame, right: DataFrame, key: str = "n_name") -> DataFrame:
+    """Pairs a, b of different names among which are all with a composite score of SAME_NAME or more.
+
+    Of names with at most k edits, one cut in k + 1 segments has a segment that stands in the other, moved by no more than the edits
+    allow. Pairs meet on such segments, by both lengths; those of more edits are let go. All of it runs inside Catalyst.
+    """
+    a = left.select(F.col(key).alias("x")).filter("x <> ''").distinct()
+    b = right.select(F.col(key).alias("x")).filter("x <> ''").distinct()
+    over, under = EDITS
+    lengths = a.unionByName(b).select(F.length("x").alias("n")).distinct()
+
+    def begin(i: Column) -> Column:
+        return F.floor(i * F.col("short") / (F.col("k") + 1)).cast("int")
+
+    def cut(names: DataFrame, longer: bool) -> DataFrame:
+        """key, x: the segments of names as the shorter of two, or the places of the longer where they may stand."""
+        own, other = ("long", "short") if longer else ("short", "long")
+        rows = names.withColumn(own, F.length("x")).join(lengths.withColumnRenamed("n", other), F.expr(f"{other} between {own} - {over} * {own} div {under} and {own}" if longer else f"{other} between {own} and {own} * {under} div {under - over}"))
+        rows = rows.withColumn("k", F.expr(f"{over} * long div {under}")).filter("long - short <= k")
+        rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i")).withColumns({"at": begin(F.col("i")), "size": begin(F.col("i") + 1) - begin(F.col("i"))})
+        if longer:
+            gap = F.col("long") - F.col("short")
+            shifts = F.sequence(-F.floor((F.col("k") - gap) / 2), F.floor((F.col("k") + gap) / 2))
+            rows = rows.withColumn("shift", F.explode(shifts)).withColumn("at", (F.col("at") + F.col("shift")).cast("int")).filter("at >= 0 and at + size <= long")
+        return rows.select(F.xxhash64("short", "long", "i", F.substring("x", F.col("at") + 1, F.col("size"))).alias("key"), "x").distinct()
+
+    x, y = (cut(a, False), cut(a, True)), (cut(b, False), cut(b, True))
+    met = [s.select("key", F.col("x").alias("a")).join(t.select("key", F.col("x").alias("b")), "key").select("a", "b") for s, t in ((x[0], y[1]), (x[1], y[0]))]
+    pairs = met[0].unionByName(met[1]).filter("a <> b").distinct()
+    return pairs.filter(F.levenshtein("a", "b") * under <= F.greatest(F.length("a"), F.length("b")) * over)
+
+
+def same_names(left: DataFrame, right: DataFrame) -> DataFrame:
+    """a, b, score: pairs of different names with a composite score of SAME_NAME or more, of `a` against `b`."""
+    a, b = F.col("a"), F.col("b")
+    pairs = same_name_candidates(left, right).withColumn("_cheap", 0.3 * edit_ratio(a, b) + 0.2 * jaccard(a, b))
+    most = 1 - F.levenshtein(a, b) / (F.length(a) + F.length(b))
+    near = pairs.filter(0.5 * most + F.col("_cheap") >= SAME_NAME - 1e-9)  # before Python sees a pair
+    return near.select("a", "b", (0.5 * block_ratio(a, b) + F.col("_cheap")).alias("score")).filter(F.col("score") >= SAME_NAME)
+
+
 def fuzzy_matches(incoming: DataFrame, registry: DataFrame) -> DataFrame:
     """JOI-2: seq, matched_entity_id, score: the best composite score of SAME_NAME or more; the entity of the least seq wins ties."""
-    pairs = name_pairs(incoming, registry)
-    cheap = 0.3 * edit_ratio(F.col("a"), F.col("b")) + 0.2 * jaccard(F.col("a"), F.col("b"))
-    near = pairs.withColumn("_cheap", cheap).filter(F.col("_cheap") + 0.5 >= SAME_NAME)  # before Python sees a pair
-    scored = near.withColumn("score", 0.5 * block_ratio(F.col("a"), F.col("b")) + F.col("_cheap")).select("a", "b", "score")
+    scored = same_names(incoming, registry)
     same = incoming.join(registry.select("n_name"), "n_name", "left_semi").select(F.col("n_name").alias("a"), F.col("n_name").alias("b"), F.lit(1.0).alias("score")).filter("a <> ''").distinct()
-    scored = scored.filter(F.col("score") >= SAME_NAME).unionByName(same)
+    scored = scored.unionByName(same)
     named = registry.groupBy("n_name").agg(F.min(F.struct("seq", "entity_id")).alias("e"))
     best = scored.join(named, F.col("b") == F.col("n_name")).groupBy("a").agg(F.max(F.struct("score", (-F.col("e.seq")).alias("order"), F.col("e.entity_id").alias("entity_id"))).alias("m"))
     return incoming.join(best, F.col("n_name") == F.col("a")).select("seq", F.col("m.entity_id").alias("matched_entity_id"), F.col("m.score").alias("score"))
@@ -180,7 +231,7 @@ class Registry:
         level, at, confidence, field = self._match(m)
         if at is None:
             at = len(self.entities)
-            self.entities.append({"values": {k: m[k] for k in (*KEYS, "name")}, "raw": dict(m), "confidence": m["confidence"], "sources": [m["source"]], "count": 1, "seq": m["seq"], "conflicts": []})
+            self.entities.append({"values": {k: m[k] for k in (*KEYS, "name")}, "across": self._across(m), "confidence": m["confidence"], "sources": [m["source"]], "count": 1, "seq": m["seq"], "conflicts": []})
             # a key that a later merge brings is not looked up
             for k in self.held:
                 if m[k]:
@@ -206,18 +257,26 @@ class Registry:
                 if not e["values"]["name"]:
                     continue
                 near = SequenceMatcher(None, m["name"], e["values"]["name"]).ratio()
-                both = [k for k in ("phone", "account") if m[k] and e["values"][k]]
+                own = self._across(m)
+                both = [k for k in ACROSS if own[k] and e["across"][k]]
                 if near >= SIMILAR_NAME and both:
-                    s = 0.6 * near + 0.4 * sum(m[k] == e["values"][k] for k in both) / len(both)
+                    s = 0.6 * near + 0.4 * sum(own[k] == e["across"][k] for k in both) / len(both)
                     if s > score:
                         best, score = at, s
             if best is not None and score >= SIMILAR_NAME:
                 return 3, best, score, "cross_modal"
         return 0, None, 1.0, None
 
+    @staticmethod
+    def _across(m: dict) -> dict:
+        return {k: m.get(f"raw_{k}", m[k]) for k in ACROSS}
+
     @staticmethod
     def _merge(e: dict, m: dict) -> None:
         own = e["confidence"]
+        for k, new in Registry._across(m).items():
+            if new and (not e["across"][k] or m["confidence"] > own):
+                e["across"][k] = new
         for k in (*KEYS, "name"):
             old, new = e["values"][k], m[k]
             if not old and new:
@@ -236,7 +295,10 @@ class Registry:
 
 
 def blocks(mentions: DataFrame) -> DataFrame:
-    """`mentions` with `block`: those of different blocks share no key and no similar name."""
+    """`mentions` with `block`: those of different blocks share no key, and no names of a composite score of SAME_NAME.
+
+    A match across modalities needs an equal key, so it stays inside a block.
+    """
     keyed = with_keys(mentions)
     links = None
     for k in (*KEYS, "name"):
@@ -244,8 +306,7 @@ def blocks(mentions: DataFrame) -> DataFrame:
         own = held.groupBy("v").agg(F.min("seq").alias("root"))
         part = held.join(own, "v").select(F.col("seq").alias("a"), F.col("root").alias("b"))
         links = part if links is None else links.unionByName(part)
-    pairs = name_pairs(keyed, keyed)
-    near = pairs.filter(F.greatest(block_ratio(F.col("a"), F.col("b")), 0.5 + 0.3 * edit_ratio(F.col("a"), F.col("b")) + 0.2 * jaccard(F.col("a"), F.col("b")) - 0.1) >= SIMILAR_NAME)
+    near = same_names(keyed, keyed)
     first = keyed.filter("n_name <> ''").groupBy("n_name").agg(F.min("seq").alias("root"))
     similar = near.join(first.select(F.col("n_name").alias("a"), F.col("root").alias("ra")), "a").join(first.select(F.col("n_name").alias("b"), F.col("root").alias("rb")), "b")
     links = links.unionByName(similar.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
@@ -265,7 +326,7 @@ def resolve_in_order(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
         pdf = pdf.sort_values("seq", kind="stable")
         r = Registry()
         for row in pdf.itertuples(index=False):
-            r.add({**{k: getattr(row, f"n_{k}") or None for k in (*KEYS, "name")}, "seq": row.seq, "confidence": 1.0 if pd.isna(row.confidence) else row.confidence, "source": row.source or "unknown"})
+            r.add({**{k: getattr(row, f"n_{k}") or None for k in (*KEYS, "name")}, **{f"raw_{k}": getattr(row, f"r_{k}") or None for k in ACROSS}, "seq": row.seq, "confidence": 1.0 if pd.isna(row.confidence) else row.confidence, "source": row.source or "unknown"})
         rows = []
         for seq, at, level, score, field in r.log:
             e = r.entities[at]
@@ -273,9 +334,9 @@ def resolve_in_order(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
             rows.append((pdf["block"].iloc[0], seq, at, level, score, field, e["seq"], v["name"], v["phone"], v["wechat"], v["idcard"], v["account"], e["confidence"], e["sources"], e["count"], len(e["conflicts"])))
         return pd.DataFrame(rows, columns=[f.split()[0] for f in fields.split(", ")])
 
-    done = keyed.groupBy("block").applyInPandas(fold, fields)
+    done = written(keyed.groupBy("block").applyInPandas(fold, fields), "folded")
     opened = done.filter("level = 0").select("opened")
-    ids = opened.withColumn("_n", F.row_number().over(Window.orderBy("opened"))).select("opened", F.format_string("ENTITY_%06d", F.col("_n")).alias("entity_id"))
+    ids = numbered(opened, "opened").select("opened", F.format_string("ENTITY_%06d", F.col("number") + 1).alias("entity_id"))
     done = done.join(ids, "opened")
     entities = done.filter("level = 0").select("entity_id", F.col("opened").alias("seq"), "name", "phone", "wechat", "idcard", "account", F.round("confidence", 6).alias("confidence"), F.array_sort("sources").alias("sources"), "merged_count", "n_conflicts")
     return entities, done.select("seq", "entity_id", F.col("level").alias("match_level"), F.round("score", 6).alias("match_confidence"), F.col("field").alias("matching_field"))

@@ -48,7 +48,7 @@ def mentions_of(results: DataFrame) -> DataFrame:
     drugs = results.select("uuid", "seq", "ts", F.posexplode("drugs").alias("at", "name"), F.lit("drug").alias("type"), F.lit(0.8).alias("confidence"))
     persons = results.select("uuid", "seq", "ts", F.posexplode("persons").alias("at", "name"), F.lit("person").alias("type"), F.lit(0.8).alias("confidence"))
     both = drugs.unionByName(persons)
-    return both.select("uuid", "ts", "name", "type", "confidence", F.lit("text").alias("source"), (F.col("seq") * 1000 + F.when(F.col("type") == "drug", 0).otherwise(500) + F.least("at", F.lit(499))).alias("seq"))
+    return both.select("uuid", "ts", "name", "type", "confidence", F.lit("text").alias("source"), ((2 * F.col("seq") + F.when(F.col("type") == "drug", 0).otherwise(1)) * (1 << 24) + F.col("at")).alias("seq"))  # drugs first, then persons, as they stand
 
 
 def run(spark: SparkSession, path: str, folder: str, salt: str, make=Offline) -> Run:
@@ -57,7 +57,7 @@ def run(spark: SparkSession, path: str, folder: str, salt: str, make=Offline) ->
     rows = r.stage("intake", lambda: readers.chat_json(spark, path))
     valid, errors = intake.split_valid(rows)
     writers.one_file(intake.quality_report(valid, errors), f"{folder}/report")
-    clean = r.stage("pseudonymized", lambda: pseudonymize.pseudonymized(valid, salt))
+    clean = r.stage("pseudonymized", lambda: pseudonymize.pseudonymized(valid, salt, seq="index"))
     tasks = r.stage("tasks", lambda: intake.numbered(clean.withColumn("modality", intake.modality_of(F.col("type"))), "modality", "index"))
     results = r.stage("results", lambda: _texts(tasks, make))
     mentions = mentions_of(results)

@@ -107,10 +107,10 @@ def vote_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.majority(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
 
 
-@query("ensemble_pick", "select user_id, arg_max(event_type, (case when event_id % 2 = 0 then 0.7 else 0.3 end, event_type)) as picked, count(*) as answers from events group by 1")
+@query("ensemble_pick", "select user_id, arg_max(event_type, (case when event_id % 2 = 0 then 0.7 else 0.3 end, -event_id)) as picked, count(*) as answers from events group by 1")
 def ensemble_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.when(F.col("event_id") % 2 == 0, 0.7).otherwise(0.3).alias("w"))
-    return metrics.ensemble(e, "user_id", "event_type", "w")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.when(F.col("event_id") % 2 == 0, 0.7).otherwise(0.3).alias("w"))
+    return metrics.ensemble(e, "user_id", "event_type", "w", "event_id")
 
 
 _ROLES = ("view", "click", "purchase", "robot")

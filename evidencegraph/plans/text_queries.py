@@ -87,12 +87,12 @@ def task_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "timestamp_normalize",
-    "select event_id, case event_id % 5 when 3 then '' when 4 then 'no time' else strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') end as at from events",
+    "select event_id, case event_id % 5 when 3 then '' else strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') end as at from events",
 )
 def timestamp_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, k, ts = table(spark, sf_dir, "events"), F.col("event_id") % 5, F.col("ts").cast("timestamp")
     raw = (
-        F.when(k == 0, F.unix_seconds(ts).cast("string")).when(k == 1, F.unix_millis(ts).cast("string")).when(k == 2, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).when(k == 3, "").otherwise("no time")
+        F.when(k == 0, F.unix_seconds(ts).cast("string")).when(k == 1, F.unix_millis(ts).cast("string")).when(k == 2, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).when(k == 4, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS+08:00")).when(k == 3, "").otherwise("no time")
     )
     return e.select("event_id", S.normalized_time(raw).alias("at"))
 
@@ -274,9 +274,9 @@ def _pads(salt: str) -> tuple[str, str]:
 _INNER, _OUTER = _pads(SALT)
 
 
-@query("hmac_tag", f"select c_custkey, 'name_' || substr(sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(c_name)))), 1, 10) as tag from customer")
+@query("hmac_tag", f"select c_custkey, 'NAME_' || substr(sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(c_name)))), 1, 10) as tag from customer")
 def hmac_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", S.keyed_tag(F.lit("name"), F.col("c_name"), SALT).alias("tag"))
+    return table(spark, sf_dir, "customer").select("c_custkey", S.keyed_tag(F.upper(F.lit("name")), F.col("c_name"), SALT).alias("tag"))
 
 
 _COUNTED = {k: pseudonymize.PATTERNS[k] for k in ("phone", "id_card", "email", "url", "wechat", "long_number")}
@@ -302,7 +302,7 @@ def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("pseudonymize_text")
 def pseudonymize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize.pseudonymized(_coded(spark, sf_dir), SALT).select("seq", "content", F.size("spans").alias("n_spans"), "nested")
+    return pseudonymize.pseudonymized(_coded(spark, sf_dir), SALT, seq="seq").select("seq", "content", F.size("spans").alias("n_spans"), "nested")
 
 
 @query("pseudonym_mapping")

@@ -79,7 +79,7 @@ def with_media(entries: DataFrame, files: DataFrame) -> DataFrame:
     wanted = entries.withColumn("_u", clean).filter("_u <> ''")
     sizes = wanted.select(F.length("_u").alias("size")).distinct()
     of = F.when(F.col("ending").isin(*VOICE_FILES), "voice").when(F.col("ending").isin(*IMAGE_FILES), "image")
-    runs = files.withColumn("_m", of).filter("_m is not null").join(F.broadcast(sizes.limit(1000)), F.length("name") >= F.col("size"))  # distinct lengths of ids, a file name's length at most
+    runs = files.withColumn("_m", of).filter("_m is not null").join(F.broadcast(sizes.filter("size <= 1024")), F.length("name") >= F.col("size"))  # distinct lengths of ids; no store has longer names
     runs = runs.select("_m", "path", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - F.col("size") + 1), lambda i: F.substring(F.col("name"), i, F.col("size"))))).alias("_u"))
     first = runs.groupBy("_m", "_u").agg(F.min("path").alias("file_path"))
     return wanted.join(first, (wanted["_u"] == first["_u"]) & (wanted["modality"] == first["_m"])).drop("_u", "_m")

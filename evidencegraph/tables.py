@@ -19,8 +19,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder that isn't there yet, in the shared one."""
+    return f"{shared_folder(spark)}/evidencegraph/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table of its own in the shared folder, read again."""
-    path = f"{shared_folder(df.sparkSession)}/evidencegraph/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
