@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from .plans import graph_queries, score_queries, text_queries  # noqa: F401  they register themselves
+    from .plans import graph_queries, score_queries, text_queries, worker_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Query]:

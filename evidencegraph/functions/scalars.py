@@ -203,6 +203,17 @@ def drug_related(reply: Column, failed: Column) -> Column:
     return F.struct(F.when(hit, "drug_related").otherwise("normal").alias("category"), F.when(failed, 0.0).otherwise(0.7).alias("confidence"))
 
 
+def validated(drugs: Column, entities: Column) -> Column:
+    """FN-27: of two JSON texts: both are objects, and entities that tell of drugs have some if there are drugs."""
+    kind = lambda c: F.coalesce(F.schema_of_variant(c), F.lit("VOID"))
+    d, e = F.try_parse_json(drugs), F.try_parse_json(entities)
+    told = F.try_variant_get(e, "$.drugs", "variant")
+    named = F.array_contains(F.map_keys(F.try_variant_get(e, "$", "map<string,variant>")), "drugs")
+    none = kind(told).isin("VOID", "ARRAY<VOID>", "OBJECT<>") | F.coalesce(F.try_variant_get(told, "$", "string") == "", F.lit(False))
+    objects = kind(d).startswith("OBJECT") & kind(e).startswith("OBJECT")
+    return objects & ~((kind(d) != "OBJECT<>") & F.coalesce(named, F.lit(False)) & none)
+
+
 def text_confidence(has_drugs: Column, has_entities: Column, valid: Column) -> Column:
     """FN-28."""
     number = lambda c, x: F.when(c, x).otherwise(0.0)

@@ -73,6 +73,14 @@ def relation_edges(relations: DataFrame, entities: DataFrame, existing: DataFram
     return joined.select("source", "target", "relation", F.round(weight, 6).alias("weight"), F.col("w").isNotNull().alias("existed"))
 
 
+def image_text_edges(persons: DataFrame, entities: DataFrame, existing: DataFrame) -> DataFrame:
+    """JOI-8: images whose persons (image, name) a text names too: an edge of 0.5 between entity and image, or 0.5 more on the edge there, 1 at most."""
+    ids = entities.groupBy(F.lower("name").alias("_n")).agg(F.max_by("entity_id", "seq").alias("id"))
+    met = persons.join(ids, F.lower("name") == F.col("_n")).groupBy(F.col("id").alias("source"), F.concat(F.lit("image_"), "image").alias("target")).agg(F.count("*").alias("n"))
+    joined = met.join(existing.select("source", "target", F.col("weight").alias("w")), ["source", "target"], "left")
+    return joined.select("source", "target", F.lit("cross-modal").alias("relation"), F.round(F.least(F.lit(1.0), F.coalesce("w", F.lit(0.0)) + 0.5 * F.col("n")), 6).alias("weight"))
+
+
 def upsert(events: DataFrame) -> DataFrame:
     """AGG-5: one edge for each pair: weights add up, frequency counts, the first relation (by seq) names it, the earliest time dates it."""
     return events.groupBy(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).agg(
@@ -122,6 +130,17 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def full_statistics(nodes: DataFrame, edges: DataFrame, kind: str = "type") -> DataFrame:
+    """GRA-3, GRA-8: `statistics` with the number of components (a node without an edge is one), the nodes of each type (a map as
+    text), and the mean degree in which a loop counts twice. `nodes` has node and `kind`."""
+    linked = components(edges.select(F.col("source").alias("a"), F.col("target").alias("b")))
+    roots = nodes.select("node").distinct().join(linked, "node", "left").agg(F.countDistinct(F.coalesce("component", "node")).alias("components"))
+    types = nodes.groupBy(kind).agg(F.countDistinct("node").alias("n")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", F.col(kind), F.col("n").cast("string")))), ",").alias("types"))
+    twice = edges.agg(F.count("*").alias("_m"))
+    out = statistics(nodes, edges).join(roots).join(types).join(twice)  # rows of totals
+    return out.withColumn("avg_degree_loops", F.round(F.when(F.col("node_count") > 0, 2 * F.col("_m") / F.col("node_count")).otherwise(0.0), 6)).drop("_m")
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """GRA-4: node, component (its least node) of every node in `links` (a, b): alternating large and small stars."""
     e = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

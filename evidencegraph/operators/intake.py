@@ -95,12 +95,22 @@ def serialised(tasks: DataFrame) -> DataFrame:
     return tasks.select("task_id", F.to_json(F.struct("task_id", "modality", F.substring("content", 1, 100).alias("content"))).alias("json"))
 
 
+def serialised_results(results: DataFrame) -> DataFrame:
+    """PRJ-4: a JSON object for each result."""
+    return results.select("task_id", F.to_json(F.struct("task_id", "modality", "success", "confidence", "error"), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def unwrapped(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """FIL-6: results that succeeded, by modality, and those that failed."""
     ok = F.coalesce(F.col("success"), F.lit(False))
     return results.filter(ok), results.filter(~ok)
 
 
+def first_valid(rows: DataFrame, n: int = 100, why: str = "reason", order: str = "index") -> DataFrame:
+    """FIL-11: the first `n` rows without a reason against them."""
+    return split_valid(rows, why)[0].orderBy(order).limit(n)
+
+
 def quality_report(valid: DataFrame, errors: DataFrame, most: int = 200) -> DataFrame:
     """SNK-1: one row: valid_count, error_count, and the first `most` errors as an array."""
     first = errors.orderBy("index").limit(most).agg(F.array_sort(F.collect_list(F.struct("index", "reason"))).alias("errors"))

@@ -7,6 +7,7 @@ their connections never travel.
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
@@ -16,12 +17,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import prompts
 from ..functions import scalars as S
 
 
 class Provider(Protocol):
     def complete(self, prompt: str, params: Params) -> str: ...
 
+    def transcribe(self, path: str, params: Params) -> str: ...
+
+    def look(self, path: str, prompt: str, params: Params) -> str: ...
+
 
 @dataclass(frozen=True)
 class Params:
@@ -69,12 +75,29 @@ class Retry:
 
 
 class Offline:
-    """Answers by rules: the drugs and quantities of a prompt's last line, as JSON in prose."""
+    """Answers by rules: the drugs and capitalised words of a prompt's last line, as JSON in prose; media are told by their names."""
 
     def complete(self, prompt: str, params: Params) -> str:
-        low = prompt.rpartition("\n")[2].lower()
-        drugs = [d for d in S.DRUGS if d in low]
-        return "Result: " + json.dumps({"drugs": drugs, "category": "drug_box" if drugs else "other"}) + " end"
+        text = prompt.rpartition("\n")[2]
+        drugs = [d for d in S.DRUGS if d in text.lower()]
+        persons = [w for w in text.split() if w[:1].isupper() and w.isalpha()]
+        return "Result: " + json.dumps({"drugs": drugs, "persons": persons, "category": "drug_box" if drugs else "other"}) + " end"
+
+    def transcribe(self, path: str, params: Params) -> str:
+        return _spoken(path)
+
+    def look(self, path: str, prompt: str, params: Params) -> str:
+        words = _spoken(path)
+        if "extract" in prompt.lower():
+            return words
+        return "It shows a drug." if "drug" in words.lower() else "Nothing of note."
+
+
+def _spoken(path: str) -> str:
+    """The name of a file as words."""
+    if not path:
+        raise FileNotFoundError("File not found")
+    return re.sub("[_-]+", " ", re.sub(r"\.[^.]*$", "", path.rpartition("/")[2]))
 
 
 class Http:
@@ -84,9 +107,18 @@ class Http:
         self.url, self.key, self.timeout = url, key, timeout
 
     def complete(self, prompt: str, params: Params) -> str:
+        return self._sent(params, prompt=prompt)
+
+    def transcribe(self, path: str, params: Params) -> str:
+        return self._sent(params, audio=path)
+
+    def look(self, path: str, prompt: str, params: Params) -> str:
+        return self._sent(params, prompt=prompt, image=path)
+
+    def _sent(self, params: Params, **what: str) -> str:
         from urllib.request import Request, urlopen
 
-        body = json.dumps({"prompt": prompt, "temperature": params.temperature, "top_p": params.top_p, "max_tokens": params.max_tokens})
+        body = json.dumps({**what, "temperature": params.temperature, "top_p": params.top_p, "max_tokens": params.max_tokens})
         request = Request(self.url, body.encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
         with urlopen(request, timeout=self.timeout) as answer:
             return json.load(answer)["text"]
@@ -96,42 +128,51 @@ class Http:
 PROVIDERS: dict[str, Callable[..., Provider]] = {"offline": Offline, "http": Http}
 
 
-def called(rows: DataFrame, key: str, text: str, instruction: str, make: Callable[[], Provider] = Offline, params: Params | None = None, retry: Retry | None = None) -> DataFrame:
+def called(rows: DataFrame, key: str, text: str, instruction: str, make: Callable[[], Provider] = Offline, params: Params | None = None, retry: Retry | None = None, method: str = "complete") -> DataFrame:
     """UDF-5 to UDF-9, UDF-13: `key`, reply, error of every row: one call each, with retries; an error stays with its row."""
+    return asked(rows, key, text, [instruction], make, params, retry, method).drop("n")
+
+
+def asked(rows: DataFrame, key: str, text: str, questions: list[str], make: Callable[[], Provider] = Offline, params: Params | None = None, retry: Retry | None = None, method: str = "complete") -> DataFrame:
+    """`key`, n, reply, error: every row with each of the questions, in one pass; `method` tells how the provider is called."""
     given, again = params or Params(), retry or Retry()
 
+    def one(provider: Provider, question: str, t: str | None, n: int) -> str:
+        if method == "complete":
+            return provider.complete(f"{question}\n{t or ''}", given.after(n))
+        return provider.look(t or "", question, given.after(n)) if method == "look" else provider.transcribe(t or "", given.after(n))
+
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = make()
         for pdf in frames:
             out = []
             for k, t in zip(pdf[key], pdf[text], strict=True):
-                try:
-                    out.append((k, again(lambda n, t=t: provider.complete(f"{instruction}\n{t or ''}", given.after(n))), None))
-                except Exception as error:
-                    out.append((k, None, str(error)))
-            yield pd.DataFrame(out, columns=["key", "reply", "error"]).astype({"reply": "object", "error": "object"})
+                for i, question in enumerate(questions):
+                    try:
+                        out.append((k, i, again(lambda n, t=t, q=question: one(provider, q, t, n)), None))
+                    except Exception as error:
+                        out.append((k, i, None, str(error)))
+            yield pd.DataFrame(out, columns=["key", "n", "reply", "error"]).astype({"reply": "object", "error": "object"})
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, text).mapInPandas(work, f"key {kind}, reply string, error string").withColumnRenamed("key", key)
+    return rows.select(key, text).mapInPandas(work, f"key {kind}, n long, reply string, error string").withColumnRenamed("key", key)
 
 
 def text_results(rows: DataFrame, key: str, text: str, make: Callable[[], Provider] = Offline) -> DataFrame:
-    """UDF-5: drugs, validated, confidence of each text, from the JSON in the reply."""
-    replies = called(rows, key, text, "Name the drugs of this message as JSON.", make)
-    parsed = F.from_json(S.salvaged_json(F.col("reply")), "drugs array<string>, category string")
-    out = replies.withColumn("p", parsed).withColumn("drugs", F.coalesce("p.drugs", F.array().cast("array<string>")))
-    valid = F.col("p").isNotNull()
-    return out.select(key, "drugs", valid.alias("validated"), F.round(S.text_confidence(F.size("drugs") > 0, valid, valid), 6).alias("confidence"), "error")
+    """UDF-5: drugs, entities (JSON text), validated, confidence of each text, from the JSON in the replies to two questions."""
+    replies = asked(rows, key, text, [prompts("drugs")[0], prompts("entities")[0]], make)
+    both = replies.groupBy(key).agg(F.max(F.when(F.col("n") == 0, S.salvaged_json(F.col("reply")))).alias("d"), F.max(F.when(F.col("n") == 1, S.salvaged_json(F.col("reply")))).alias("entities"), F.min("error").alias("error"))
+    out = both.withColumn("p", F.from_json("d", "drugs array<string>")).withColumn("drugs", F.coalesce("p.drugs", F.array().cast("array<string>")))
+    named = F.when(F.size("drugs") > 0, F.to_json(F.struct("drugs"))).otherwise("{}")
+    valid = F.col("d").isNotNull() & S.validated(named, F.coalesce("entities", F.lit("{}")))
+    return out.select(key, "drugs", "entities", valid.alias("validated"), F.round(S.text_confidence(F.size("drugs") > 0, F.col("entities").isNotNull(), valid), 6).alias("confidence"), "error")
 
 
-def image_votes(rows: DataFrame, key: str, text: str, prompts: list[str], make: Callable[[], Provider] = Offline) -> DataFrame:
+def image_votes(rows: DataFrame, key: str, text: str, questions: list[str], make: Callable[[], Provider] = Offline) -> DataFrame:
     """UDF-8, AGG-6: category by the votes of several prompts."""
     from .metrics import majority
 
-    parts = [called(rows, key, text, p, make).select(key, F.lit(i).alias("n"), S.image_category(F.coalesce("reply", F.lit(""))).alias("label")) for i, p in enumerate(prompts)]
-    votes = parts[0]
-    for p in parts[1:]:
-        votes = votes.unionByName(p)
+    votes = asked(rows, key, text, questions, make).withColumn("label", S.image_category(F.coalesce("reply", F.lit(""))))
     return majority(votes, key, "label", "n")
 
 

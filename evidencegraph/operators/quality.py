@@ -90,6 +90,17 @@ def text_report(reports: DataFrame) -> DataFrame:
     return batch_report(reports).select("modality", line.alias("line"))
 
 
+def full_report(reports: DataFrame) -> DataFrame:
+    """SNK-12: one row, `report`: totals, then the modalities in order of their names, then the levels."""
+    b = batch_report(reports)
+    line = F.format_string("%s: %d checked, %d passed (%.2f), mean score %.4f", F.col("modality"), F.col("total"), F.col("passed"), F.col("pass_rate"), F.col("average_quality_score"))
+    levels = [F.sum(f"n_{x}").alias(x) for x in ("excellent", "good", "fair", "poor")]
+    all_ = b.agg(F.sum("total").alias("total"), F.sum("passed").alias("passed"), F.array_sort(F.collect_list(line)).alias("lines"), *levels)  # a line for each modality
+    head = F.format_string("Checked: %d, passed: %d, failed: %d", F.col("total"), F.col("passed"), F.col("total") - F.col("passed"))
+    foot = F.format_string("Levels: %d excellent, %d good, %d fair, %d poor", *[F.col(x) for x in ("excellent", "good", "fair", "poor")])
+    return all_.select(F.concat_ws("\n", head, F.array_join("lines", "\n"), foot).alias("report"))
+
+
 def histogram(rows: DataFrame, score: str = "quality") -> DataFrame:
     """AGG-11: mean and three buckets."""
     s = F.col(score)

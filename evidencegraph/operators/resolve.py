@@ -354,6 +354,28 @@ def resolve_as_set(mentions: DataFrame) -> DataFrame:
     return keyed.join(roots, F.col("seq") == F.col("node"), "left").select("seq", F.coalesce("component", "seq").alias("entity"))
 
 
+def lookup(registry: DataFrame, entity_id: str | None = None, phone: str | None = None, name: str | None = None) -> DataFrame:
+    """FIL-10: entities of an id, a phone or a name, normalised as they are; of those that are given all must fit."""
+    wanted = {"entity_id": F.lit(entity_id), "n_phone": S.normalized_phone(F.lit(phone)), "n_name": S.normalized_name(F.lit(name))}
+    for (column, value), given in zip(wanted.items(), (entity_id, phone, name), strict=True):
+        if given is not None:
+            registry = registry.filter(F.col(column) == value)
+    return registry
+
+
+def created(records: DataFrame, registry: DataFrame) -> DataFrame:
+    """JOI-10: seq, entity_id, ts of what `integrated` records add to the registry, as timeline events.
+
+    Records of one phone are one entity, a record without one is its own; ids go on after the registry's, in the order of seq.
+    """
+    own = integrated(records, registry).filter("not matched").withColumn("_p", S.truthy(S.normalized_phone("phone")))
+    opened = own.withColumn("_k", F.coalesce("_p", F.concat(F.lit("seq "), F.col("seq").cast("string"))))
+    first = numbered(opened.groupBy("_k").agg(F.min("seq").alias("_first")), "_first")
+    held = F.broadcast(registry.agg(F.count("*").alias("_held")))  # one row
+    ids = first.join(held).select("_k", F.format_string("ENTITY_%06d", F.col("_held") + F.col("number") + 1).alias("_new"))
+    return opened.join(ids, "_k").select("seq", F.col("_new").alias("entity_id"), *[c for c in ("ts",) if c in records.columns], F.lit("external_activity").alias("event_type"))
+
+
 def integrated(records: DataFrame, registry: DataFrame) -> DataFrame:
     """JOI-10: for each external record the entity with its phone, or a new one: matched, entity_id, counterparty_id, weight."""
     phones = registry.filter("n_phone <> ''").groupBy("n_phone").agg(F.max_by("entity_id", "seq").alias("entity_id"))

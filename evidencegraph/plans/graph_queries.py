@@ -48,10 +48,12 @@ def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "deterministic_match",
-    """select c_custkey as seq, 'ENTITY_' || lpad(s_suppkey::varchar, 6, '0') as matched_entity_id,
-case when s_suppkey % 2 = 0 and c_custkey % 4 <> 0 then 'phone' when s_suppkey % 3 = 0 then 'wechat' when s_suppkey % 5 = 0 then 'account' end as matching_field,
-(case when s_suppkey % 2 = 0 and c_custkey % 4 <> 0 or s_suppkey % 3 = 0 then 1.0 when s_suppkey % 5 = 0 then 0.9 else 0.0 end)::double as match_confidence
-from (select c_custkey, case when (c_custkey % 2 = 0 and c_custkey % 4 <> 0) or c_custkey % 3 = 0 or c_custkey % 5 = 0 then s_suppkey end as s_suppkey from customer left join supplier on c_custkey = s_suppkey)""",
+    """with r as (select s_suppkey as k, case when s_suppkey % 2 = 0 then 13800000000 + s_suppkey end::varchar as phone, case when s_suppkey % 3 = 0 then ' WX' || s_suppkey end as wechat, case when s_suppkey % 5 = 0 then '62 ' || s_suppkey end as account from supplier),
+n as (select k, right(regexp_replace(phone, '[^0-9]', '', 'g'), 11) as phone, lower(trim(wechat)) as wechat, regexp_replace(account, '\\s+', '', 'g') as account from r),
+i as (select c_custkey as seq, right(regexp_replace(case when c_custkey % 4 <> 0 then '+86 ' || (13800000000 + c_custkey) end, '[^0-9]', '', 'g'), 11) as phone, 'wx' || c_custkey as wechat, '62' || c_custkey as account from customer),
+m as (select seq, p.k as p, w.k as w, a.k as a from i left join n p on p.phone = i.phone left join n w on w.wechat = i.wechat left join n a on a.account = i.account)
+select seq, 'ENTITY_' || lpad(coalesce(p, w, a)::varchar, 6, '0') as matched_entity_id, case when p is not null then 'phone' when w is not null then 'wechat' when a is not null then 'account' end as matching_field,
+(case when p is not null or w is not null then 1.0 when a is not null then 0.9 else 0.0 end)::double as match_confidence from m""",
 )
 def deterministic_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resolve.deterministic_matches(_incoming(spark, sf_dir), _registry(spark, sf_dir))
@@ -312,11 +314,11 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.communities(sparse_edges(spark, sf_dir))
 
 
-@query("isolated_entities", "select c_custkey as entity_id from customer where c_custkey not in (select o_custkey from orders)")
+@query("isolated_entities", "select c_custkey as entity_id from customer where c_nationkey % 4 <> 1 and c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'F' and o_orderkey % 3 = 0)")
 def isolated_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), F.lit(1).alias("merged_count"))
-    e = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("target"), F.lit(1.0).alias("weight"))
-    return graph.isolated(c, e.withColumn("target", F.lit(-1).cast("long"))).select("entity_id")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), F.when(F.col("c_nationkey") % 4 == 1, 2).otherwise(1).alias("merged_count"))
+    e = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'F' and o_orderkey % 3 = 0").select(F.col("o_custkey").alias("source"), F.lit(-1).cast("long").alias("target"), F.lit(1.0).alias("weight"))
+    return graph.isolated(c, e).select("entity_id")
 
 
 def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:

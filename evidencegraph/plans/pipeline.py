@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,12 @@ class Run:
     salt: str
     tables: dict[str, DataFrame] = field(default_factory=dict)
     seconds: dict[str, float] = field(default_factory=dict)
+    #: SNK-13: is told the stage, how many are done, and of how many.
+    progress: Callable[[str, int, int], None] = lambda stage, done, of: None
+
+    def statistics(self) -> dict[str, dict[str, float]]:
+        """AGG-21: rows and seconds of each stage."""
+        return {name: {"rows": df.count(), "seconds": self.seconds[name]} for name, df in self.tables.items()}
 
     def done(self, stage: str) -> bool:
         """A stage counts as done once its table is complete."""
@@ -40,6 +47,7 @@ class Run:
             out = writers.stage(make(), f"{self.folder}/{name}")
         self.tables[name] = out
         self.seconds[name] = time.monotonic() - began
+        self.progress(name, len(self.tables), len(STAGES))
         return out
 
 
@@ -51,9 +59,14 @@ def mentions_of(results: DataFrame) -> DataFrame:
     return both.select("uuid", "ts", "name", "type", "confidence", F.lit("text").alias("source"), ((2 * F.col("seq") + F.when(F.col("type") == "drug", 0).otherwise(1)) * (1 << 24) + F.col("at")).alias("seq"))  # drugs first, then persons, as they stand
 
 
-def run(spark: SparkSession, path: str, folder: str, salt: str, make=Offline) -> Run:
+def printed(stage: str, done: int, of: int) -> None:
+    """SNK-13: a progress callback for the console."""
+    print(f"[{done}/{of}] {stage}", flush=True)
+
+
+def run(spark: SparkSession, path: str, folder: str, salt: str, make=Offline, progress: Callable[[str, int, int], None] | None = None) -> Run:
     """All stages over a JSON array of messages at `path`; stages whose tables are in `folder` are read, not made again."""
-    r = Run(spark, folder, salt)
+    r = Run(spark, folder, salt, **({"progress": progress} if progress else {}))
     rows = r.stage("intake", lambda: readers.chat_json(spark, path))
     valid, errors = intake.split_valid(rows)
     writers.one_file(intake.quality_report(valid, errors), f"{folder}/report")

@@ -121,21 +121,21 @@ _BY_ROLE = f"""select role, tp, fp, fn, round(p, 4) as precision, round(r, 4) as
 from (values {", ".join(f"('{r}')" for r in _ROLES)}) roles(role), {_SAID} s group by 1)''')}"""
 
 
-def _roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _roles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     i = F.col("event_id")
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("true_role"), F.when(i % 3 == 0, "click").when(i % 7 == 0, "view").otherwise(F.col("event_type")).alias("predicted_role"))
     roles = spark.range(1).select(F.explode(F.array(*map(F.lit, _ROLES))).alias("role"))
-    return metrics.role_scores(e, roles)
+    return e, roles
 
 
 @query("role_confusion", _BY_ROLE)
 def role_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _roles(spark, sf_dir)
+    return metrics.role_scores(*_roles(spark, sf_dir))
 
 
 @query("role_macro_f1", f"select round(avg(f1), 6) as macro_f1 from ({_BY_ROLE})")
 def role_macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.macro_f1(_roles(spark, sf_dir), 6)
+    return metrics.macro_f1(metrics.role_scores(*_roles(spark, sf_dir)), 6)
 
 
 _TOLD = "(select lang, quality = 1 as t, n_chars > 1500 as p from documents join labels using (doc_id) where quality is not null)"

@@ -97,17 +97,16 @@ def timestamp_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", S.normalized_time(raw).alias("at"))
 
 
-@query("voice_duration", "select event_id, (case event_id % 4 when 0 then event_id % 60 when 1 then event_id % 90 else 0 end)::int as seconds from events")
+_SPOKEN = """case event_id % 6 when 0 then 'x {"voiceLength": ' || event_id % 60 || '} y' when 1 then 'voiceLength: ' || event_id % 90 when 2 then 'no length' when 3 then '{voiceLength: 9}' when 4 then '{"voiceLength": 12' else '{"length": ' || user_id || '}' end"""
+
+
+@query(
+    "voice_duration",
+    f"""with c as (select event_id, {_SPOKEN} as t from events), b as (select *, regexp_extract(t, '\\{{.*\\}}', 0, 's') as j, regexp_extract(t, 'voiceLength["'']?\\s*:\\s*["'']?([0-9]+)', 1) as w from c)
+select event_id, coalesce(try_cast(case when j <> '' then case when json_valid(j) then j ->> '$.voiceLength' end else w end as int), 0) as seconds from b""",
+)
 def voice_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, k, i = table(spark, sf_dir, "events").select("event_id"), F.col("event_id") % 4, F.col("event_id")
-    content = (
-        F.when(k == 0, F.concat(F.lit('x {"voiceLength": '), (i % 60).cast("string"), F.lit("} y")))
-        .when(k == 1, F.concat(F.lit("voiceLength: "), (i % 90).cast("string")))
-        .when(k == 2, F.lit('{"voiceLength": 12'))
-        .otherwise("{voiceLength: 9}")
-    )
-    content = F.when(k == 2, F.lit("no length")).otherwise(content)
-    return e.select("event_id", S.voice_duration(content).alias("seconds"))
+    return table(spark, sf_dir, "events").select("event_id", S.voice_duration(F.expr(_SPOKEN)).alias("seconds"))
 
 
 @query(
@@ -136,14 +135,15 @@ def normalize_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: DuckDB's levenshtein goes by bytes, so what isn't ASCII is taken from these few short rows in Spark and SQL alike.
 _PAIRS = """(select item_id, a as reference, coalesce(b, '') as hypothesis from (select item_id, text as a,
-lead(text) over (order by item_id) as b from (select item_id, regexp_replace(text, '[^ -~]', '', 'g') as text from benchmark)))"""
+lead(text) over (order by item_id) as b from (select item_id, regexp_replace(text, '[^ -~]', ' ', 'g') as text from benchmark)))"""
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("text"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", " ").alias("text"))
     nxt = F.lead("text").over(Window.orderBy("item_id"))  # the benchmark is small and of fixed size
     return b.select("item_id", F.col("text").alias("reference"), F.coalesce(nxt, F.lit("")).alias("hypothesis"))
 
@@ -163,7 +163,14 @@ def wer_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("item_id", F.round(S.word_error_rate(F.col("reference"), F.col("hypothesis")), 6).alias("wer"))
 
 
-@query("asr_metrics")
+def asr_sql() -> str:
+    cer = "case when reference = '' then case when hypothesis = '' then 0.0 else 1.0 end else levenshtein(reference, hypothesis) / length(reference)::double end"
+    wer = "case when n = 0 then case when m = 0 then 0.0 else 1.0 end else levenshtein(a, b) / n::double end"
+    of = lambda m: f"round(avg({m}), 4) as avg_{m}, round(min({m}), 4) as min_{m}, round(max({m}), 4) as max_{m}, round(coalesce(stddev_samp({m}), 0.0), 4) as std_{m}"
+    return f"select count(*) as samples, {of('cer')}, {of('wer')} from (select item_id, {cer} as cer from {_PAIRS}) join (select item_id, {wer} as wer from {_CODED}) using (item_id)"
+
+
+@query("asr_metrics", asr_sql())
 def asr_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-14."""
     return metrics.error_rates(_pairs(spark, sf_dir))
@@ -214,10 +221,13 @@ when 2 then 'Voice Call ' || event_id % 100 || ' 秒' when 3 then 'shipin' when
 
 @query(
     "behavior_normalize",
-    f"""select event_id, case event_id % 8 when 0 then 'transfer' when 1 then 'red_envelope' when 2 then 'call_voice' when 3 then 'call_video' when 4 then 'add_contact' when 5 then 'location' when 6 then 'transfer' else 'message' end as type,
-case event_id % 8 when 0 then 'transfer: ' || event_id || '.50 CNY from ' || a || ' to ' || b || ', received' when 1 then 'red_envelope: ' || event_id || ' CNY from ' || a || ' to ' || b || ', expired'
-when 2 then 'call_voice: ' || event_id % 100 || ' s between ' || a || ' and ' || b when 3 then 'call_video: 0 s between ' || a || ' and ' || b when 4 then 'add_contact: @' || b when 5 then 'location: location'
-when 6 then 'transfer: 0 CNY from ' || a || ' to ' || b || ', returned' else content end as normalized from {_BEHAVED}""",
+    f"""with t as (select *, lower(content) as low, coalesce(nullif(regexp_extract(content, '([0-9]+(?:\\.[0-9]+)?)', 1), ''), '0') as amount, coalesce(nullif(regexp_extract(content, '([0-9]+)\\s*秒', 1), ''), '0') as seconds, coalesce(nullif(regexp_extract(content, '([^\\s]{{2,}})', 1), ''), 'unknown') as place from {_BEHAVED}),
+k as (select *, case when regexp_matches(low, 'transfer|zhuanzhang') then 'transfer' when regexp_matches(low, 'red envelope|hongbao') then 'red_envelope' when regexp_matches(low, 'voice call|yuyin') then 'call_voice' when regexp_matches(low, 'video call|shipin') then 'call_video'
+when regexp_matches(low, 'add friend|tianjiahaoyou') then 'add_contact' when regexp_matches(low, 'location|weizhi') then 'location' else 'message' end as type from t)
+select event_id, type, case type when 'transfer' then 'transfer: ' || amount || ' CNY from ' || a || ' to ' || b || ', ' || case when regexp_matches(low, 'received|yishoukuank') then 'received' when contains(low, 'returned') then 'returned' else 'pending' end
+when 'red_envelope' then 'red_envelope: ' || amount || ' CNY from ' || a || ' to ' || b || ', ' || case when contains(low, 'expired') then 'expired' else 'opened' end
+when 'call_voice' then 'call_voice: ' || seconds || ' s between ' || a || ' and ' || b when 'call_video' then 'call_video: ' || seconds || ' s between ' || a || ' and ' || b when 'add_contact' then 'add_contact: @' || b
+when 'location' then 'location: ' || place else substr(content, 1, 200) end as normalized from k""",
 )
 def behavior_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, k = F.col("event_id").cast("string"), F.col("event_id") % 8
@@ -253,11 +263,10 @@ def drug_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "person_tokens",
-    """select conv_id, turn, array_to_string(list_filter(regexp_split_to_array(regexp_replace(text, '[^ -~]', ' ', 'g'), '\\s+'), lambda w: length(w) > 1 and regexp_matches(w, '^[A-Z]') and w not in ('CNY', 'USD', 'Transfer', 'Red', 'Envelope')), ' ') as persons from conversations""",
+    """select conv_id, turn, array_to_string(list_filter(regexp_split_to_array(text, '[\\s\\p{Z}\x0b\x1c-\x1f\x85]+'), lambda w: (length(w) > 1 and regexp_matches(w, '^\\p{Lu}') or regexp_full_match(w, '[\u4e00-\u9fa5]{2,4}')) and w not in ('CNY', 'USD', 'Transfer', 'Red', 'Envelope')), ' ') as persons from conversations""",
 )
 def person_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ascii_only = F.regexp_replace("text", "[^ -~]", " ")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(S.person_tokens(ascii_only), " ").alias("persons"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(S.person_tokens(F.col("text")), " ").alias("persons"))
 
 
 @query("json_salvage", "select event_id, case when event_id % 6 <> 0 then props end as found from events")
@@ -282,11 +291,12 @@ def hmac_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COUNTED = {k: pseudonymize.PATTERNS[k] for k in ("phone", "id_card", "email", "url", "wechat", "long_number")}
 
 
-@query("pii_counts", "select doc_id, " + ", ".join(f"len(regexp_extract_all(t, '{p}'))::bigint as n_{k}" for k, p in _COUNTED.items()) + " from (select doc_id, regexp_replace(text, '[^ -~\n]', '', 'g') as t from documents)")
+@query("pii_counts", "select doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{p}'))::bigint as n_{k}" for k, p in _COUNTED.items()) + " from documents")
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PSE-1: matches of single patterns."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^ -~\n]", "").alias("t"))
-    return d.select("doc_id", *[F.regexp_count("t", F.lit(p)).cast("long").alias(f"n_{k}") for k, p in _COUNTED.items()])
+    """PSE-1: matches of single patterns over whole texts; digits, words and their ends are ASCII's, in Spark's patterns as in SQL's."""
+    words = lambda p: p.replace(r"\b", r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))")
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", *[F.regexp_count("text", F.lit(words(p).replace(r"[^\s]", r"[^\t\n\f\r ]"))).cast("long").alias(f"n_{k}") for k, p in _COUNTED.items()])
 
 
 def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,7 +320,11 @@ def pseudonym_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymize.mapping(pseudonymize.pseudonymized(_coded(spark, sf_dir), SALT), SALT, "seq")
 
 
-@query("provider_text_results")
+@query(
+    "provider_text_results",
+    f"""select conv_id * 1000 + turn as seq, array_to_string(drugs, ',') as drugs, true as validated, round(0.8 + case when len(drugs) > 0 then 0.2 else 0.0 end, 6)::double as confidence, null::varchar as error
+from (select *, list_filter([{", ".join(repr(d) for d in S.DRUGS)}], lambda d: contains(lower(text || case when turn % 3 = 0 then ' took Aspirin' else '' end), d)) as drugs from conversations)""",
+)
 def provider_text_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     text = F.concat("text", F.when(F.col("turn") % 3 == 0, " took Aspirin").otherwise(""))
@@ -353,9 +367,12 @@ def image_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", q.alias("q")).select("page_id", F.round("q.quality_score", 6).alias("quality_score"), F.round("q.reliability", 6).alias("reliability"), "q.usable")
 
 
+_SEEN = "(select event_id, lower(case event_id % 3 when 0 then 'a Drug_Box, no drug_list' when 1 then 'DRUG_LIST of a page' else 'a cat' end) as reply, event_id % 4 = 0 as failed from events)"
+
+
 @query(
     "image_categories",
-    "select event_id, case when event_id % 3 = 0 then 'drug_box' when event_id % 3 = 1 then 'drug_list' else 'other' end as category, case when event_id % 4 <> 0 and event_id % 3 < 2 then 'drug_related' else 'normal' end as related, (case when event_id % 4 = 0 then 0.0 else 0.7 end)::double as confidence from events",
+    f"select event_id, case when contains(reply, 'drug_box') then 'drug_box' when contains(reply, 'drug_list') then 'drug_list' else 'other' end as category, case when not failed and contains(reply, 'drug') then 'drug_related' else 'normal' end as related, (case when failed then 0.0 else 0.7 end)::double as confidence from {_SEEN}",
 )
 def image_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-25, FN-26."""
@@ -374,10 +391,14 @@ def text_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.round(S.text_confidence(i % 2 == 0, i % 3 == 0, i % 5 == 0), 6).alias("confidence"))
 
 
+_FIELDS = "(select event_id, case event_id % 4 when 0 then {0} when 1 then {1} when 2 then {2} else {3} end as fields from {4})"
+_LISTS = _FIELDS.format("[event_type, '', 'x']", "[event_type]", "['', '']", "[]::varchar[]", "events")
+
+
 @query(
     "extraction_quality",
-    "select event_id, round(least(1.0, 0.7 + case when event_id % 3 = 0 then 0.1 else 0 end + 0.05 * case when event_id % 3 = 0 then 2 else 1 end), 6)::double as quality from events",
+    f"""select event_id, round(case when len(fields) < 1 then 0.0 else least(1.0, 0.5 + 0.2 + case when len(fields) >= 3 then 0.1 else 0.0 end + 0.05 * len(list_filter(fields, lambda x: x <> ''))) end, 6)::double as quality from {_LISTS}""",
 )
 def extraction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("a"), F.col("event_type"), F.lit("b"), F.lit(""), F.lit("c"), F.lit("x"))).otherwise(F.create_map(F.lit("a"), F.col("event_type")))
+    fields = F.expr("case event_id % 4 when 0 then map('a', event_type, 'b', '', 'c', 'x') when 1 then map('a', event_type) when 2 then map('a', '', 'b', '') else cast(map() as map<string,string>) end")
     return table(spark, sf_dir, "events").select("event_id", F.round(S.extraction_quality(fields), 6).alias("quality"))

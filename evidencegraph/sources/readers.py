@@ -113,6 +113,22 @@ def user_roles(spark: SparkSession, path: str) -> DataFrame:
     return as_map.unionByName(as_list)
 
 
+def user_relations(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-7: pairs of users, whether they are related, and whether that was predicted."""
+    return spark.read.schema("id long, user1 string, user2 string, is_related boolean, interaction_count long, predicted_related boolean").json(path, multiLine=True)
+
+
+def annotated_messages(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-7: messages with a note whether they name a drug."""
+    return spark.read.schema("id long, user string, text string, has_drug_mention boolean, timestamp long").json(path, multiLine=True)
+
+
+def case_annotations(spark: SparkSession, folder: str, case: str) -> dict[str, DataFrame]:
+    """SRC-7: the three annotation files of a case."""
+    of = {"user_roles": user_roles, "user_drug_relations": user_relations, "chat_messages": annotated_messages}
+    return {name: read(spark, f"{folder}/{case}_{name}.json") for name, read in of.items()}
+
+
 def asr_samples(spark: SparkSession, path: str) -> DataFrame:
     """SRC-8: reference and hypothesis, under either of their names."""
     rows = spark.read.schema("id long, reference string, hypothesis string, reference_text string, hypothesis_text string").json(path, multiLine=True)
@@ -136,6 +152,12 @@ def device_export(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json(body, f"array<{schema}>")).alias("e")).select("e.*")
 
 
+def navigation_tree(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-13: the tree of an export: id, name, table_index, parent (null at the top)."""
+    rows = spark.read.schema("id string, name string, tableIndex int, parentId string").json(path, multiLine=True)
+    return rows.select("id", "name", F.col("tableIndex").alias("table_index"), F.col("parentId").alias("parent"))
+
+
 def collected(spark: SparkSession, csv: str | None = None, directory: str | None = None) -> DataFrame:
     """SRC-12: the CSV if there is one, else the folder, else nothing."""
     if csv:

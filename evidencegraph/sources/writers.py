@@ -28,9 +28,11 @@ def network(parts: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def mapping(pairs: DataFrame, path: str) -> None:
-    """SNK-7: original and pseudonym."""
+def mapping(pairs: DataFrame, path: str, statistics: DataFrame | None = None) -> None:
+    """SNK-7: original and pseudonym; beside them, in `path`_totals, how many there are, and the statistics (one row) if given."""
     pairs.select(F.col("raw").alias("original"), "pseudonym").write.mode("overwrite").json(path)
+    totals = pairs.agg(F.count("*").alias("total_entities"))
+    one_file(totals if statistics is None else totals.join(statistics), f"{path}_totals")
 
 
 def stage(df: DataFrame, path: str) -> DataFrame:

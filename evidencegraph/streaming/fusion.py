@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import normalized_name
+from ..operators.resolve import resolve_in_order
+from ..tables import written
 
 
 def entity_table(batches: DataFrame) -> DataFrame:
@@ -32,6 +34,35 @@ def register(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
 
 
+def register_by_keys(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """STR-2, STR-3: mentions (type, seq, confidence, source, and keys as for `resolve_in_order`) by all match levels, batch after batch.
+
+    Entities are known by the mention that opened them. A batch meets the openers of the batches before, and overwrites a folder of
+    its own number: seq, opened (the opener's seq), match_level, matching_field, and the mention's keys. Other events are left out;
+    `entity_update` events have a folder of their own, `updates`, in which the last one of an entity counts.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        keys = [c for c in ("name", "phone", "wechat", "id_card", "account") if c in batch.columns]
+        kept = [c for c in ("seq", "confidence", "source", *keys) if c in batch.columns]
+        known = batch.select("type", *kept).persist()
+        known.filter("type = 'entity_update'").write.mode("overwrite").parquet(f"{folder}/updates/batch={number}")
+        new = known.filter(F.col("type").isin("modality_output", "external_data")).select(*kept)
+        schema = f"seq long, opened long, match_level int, matching_field string, {', '.join(f'{c} {new.schema[c].dataType.simpleString()}' for c in kept[1:])}"
+        before = spark.createDataFrame([], schema)
+        if number:
+            before = spark.read.schema(schema + ", batch long").option("basePath", f"{folder}/mentions").parquet(f"{folder}/mentions").filter(F.col("batch") < number).drop("batch")
+        openers = before.filter("seq = opened").select(*kept)
+        both = written(openers.withColumn("_old", F.lit(True)).unionByName(new.withColumn("_old", F.lit(False))), "mentions")
+        entities, log = resolve_in_order(both.drop("_old"))
+        found = log.join(entities.select("entity_id", F.col("seq").alias("opened")), "entity_id").select("seq", "opened", "match_level", "matching_field")
+        found.join(both.filter("not _old").drop("_old"), "seq").write.mode("overwrite").parquet(f"{folder}/mentions/batch={number}")
+        known.unpersist()
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+
 def windowed_counts(events: DataFrame, time: str = "ts", width: str = "1 hour", late: str = "2 hours", by: str = "event_type") -> DataFrame:
     """Events of each kind in tumbling windows; what comes later than `late` is left out. An extension of the event queue."""
     return events.withWatermark(time, late).groupBy(F.window(time, width), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
