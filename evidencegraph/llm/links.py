@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import deleted, groups, starts, table
 
-#: Members that are compared within one bucket. A larger bucket is dealt to cells, each of two blocks of at most so many.
+#: Members that are compared within one bucket. A larger bucket is dealt to cells, each of two blocks of half as many.
 BLOCK = 2048
 
 
@@ -38,25 +38,28 @@ def forest(n: int, linked: Callable[[np.ndarray, np.ndarray], np.ndarray], width
     return np.concatenate(a_out), np.concatenate(b_out)
 
 
-def cells(size: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The cells of a bucket: every two members meet in one of them."""
-    n = -(-size // BLOCK)
-    at = [np.arange(k * size // n, (k + 1) * size // n) for k in range(n)]
-    for i in range(n):
-        for j in range(i + 1, n):
-            yield i * n + j, np.concatenate((at[i], at[j]))
+def in_cells(index: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The rows of large buckets (`sizes`: key, n) under the keys of cells of two blocks, so that every two of a bucket meet in a cell.
+
+    Blocks are of some BLOCK / 2 members, by a hash of the id; no bucket is ever together in one task.
+    """
+    blocks = F.ceil(2 * F.col("n") / BLOCK).cast("int")
+    rows = index.join(sizes, "key").withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    # a block meets itself in the cell with the next one
+    own = (F.col("_other") != F.col("_own")) | (F.col("_blocks") == 1)
+    return rows.filter(own).select(F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("key"), "id", "code")
 
 
-def bucketed(index: DataFrame, find: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], name: str, width: int) -> DataFrame:
+def bucketed(index: DataFrame, find: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], name: str, width: int) -> DataFrame:
     """Links a, b of an index key, id, code: those that `find` names within each bucket of equal key.
 
-    Buckets of one member vanish. Those of more than BLOCK members are dealt out to cells, each
-    compared in a task of its own choice, so that no bucket's comparisons stay in one task.
+    Buckets of one member vanish. Those of more than BLOCK members are dealt out to cells before they are compared, so that
+    neither their rows nor their comparisons are in one task.
     `find` gets the codes of a bucket as rows of `width` bytes, and returns the row numbers that it links.
     """
-    out_schema = "key long, a long, b long, code binary"
 
-    def search(batches: Iterator[pa.RecordBatch], split: bool) -> Iterator[pa.RecordBatch]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, "key"):
             keys, ids = t.column("key").to_numpy(), t.column("id").to_numpy()
             edge = starts(keys)
@@ -67,27 +70,22 @@ def bucketed(index: DataFrame, find: Callable[[np.ndarray, np.ndarray], tuple[np
             code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(-1, width)
             pairs: list[tuple[np.ndarray, np.ndarray]] = []
             two = many[size[many] == 2]
-            for k, chunk in ((0, two[i : i + 65536]) for i in range(0, len(two), 65536)):
+            for chunk in (two[i : i + 65536] for i in range(0, len(two), 65536)):
                 pairs.append(find_pairs(code, edge[chunk], find, ids))
             for g in many[size[many] > 2]:
                 a, b = edge[g], edge[g + 1]
-                if split and b - a > BLOCK:
-                    for cell, rows in cells(b - a):
-                        rows = rows + a
-                        own = np.full(len(rows), hash((int(keys[a]), cell)) & 0x7FFFFFFFFFFFFFFF, np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(ids[rows]), pa.nulls(len(rows), pa.int64()), pa.array([x.tobytes() for x in code[rows]], pa.binary())], names=["key", "a", "b", "code"])
-                    continue
                 i, j = find(code[a:b])
                 if len(i):
                     pairs.append((ids[a + i], ids[a + j]))
             a, b = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (ids[:0], ids[:0])
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.nulls(len(a), pa.binary())], names=["key", "a", "b", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    found = table(index.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda it: search(it, True), out_schema), name)
-    rest = found.filter("key is not null").select("key", F.col("a").alias("id"), "code").repartition("key").sortWithinPartitions("key", "id")
-    more = rest.mapInArrow(lambda it: search(it, False), out_schema)
-    return found.filter("key is null").select("a", "b").unionByName(more.select("a", "b"))
+    hot = table(index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK), f"{name}-hot")
+    dealt = index
+    if not hot.isEmpty():
+        dealt = index.join(hot, "key", "left_anti").select("key", "id", "code").unionByName(in_cells(index, hot))
+    return table(dealt.repartition("key").sortWithinPartitions("key", "id").mapInArrow(search, "a long, b long"), name)
 
 
 def find_pairs(code: np.ndarray, at: np.ndarray, find: Callable, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, session, slices, table, utf8
+from .common import release, session, slices, table, unused, utf8
 from .links import Near, bucketed, components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -118,11 +118,12 @@ def keep_one(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
     stay, equal texts once, unless a document with an id has their fingerprint.
     """
     id_, hashed = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64(utf8())
+    names = unused(docs.columns, "id", "hash")
     found = groups_of(docs.select("doc_id", hashed.alias("_hash"), "text"), shingle, most)
     least = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.min("_hash").alias("_hash"))
     loose = found.filter("component_id is null").select(F.lit(-(1 << 63)).alias("_id"), "_hash").distinct()
     stays = table(least.unionByName(loose), "stays")
-    return docs.withColumns({"_id": id_, "_hash": hashed}).join(stays, ["_id", "_hash"]).dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    return docs.withColumns(dict(zip(names, (id_, hashed), strict=True))).join(stays.toDF(*names), names).dropDuplicates(names).select(*docs.columns)
 
 
 def same_rows(fps: DataFrame) -> DataFrame:

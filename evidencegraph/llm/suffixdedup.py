@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, groups, release, session, slices, starts, table, trimmed, utf8
+from .common import dropped, groups, release, session, slices, starts, table, trimmed, unused, utf8
 
 #: Bytes of a gram, and bytes of text that are hashed at a time.
 GRAM, PIECE = 32, 512 << 10
@@ -500,16 +500,13 @@ def _join(acc, x):
     return F.when(F.size(acc) == 0, F.array(x)).when(x["from"] <= last["to"], more).otherwise(F.concat(acc, F.array(x)))
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_text", utf8()).withColumns({"_h1": F.xxhash64("_text"), "_h2": F.xxhash64(F.lit(1), "_text")})
-
-
-def with_spans(docs: DataFrame, length: int = 400) -> DataFrame:
-    """`docs` with _text (bytes) and _spans (from, to; may overlap; or null): what is repeated of each text."""
-    rows = _hashed(docs)
-    found = repeats(rows.select(F.col("_h1").alias("h1"), F.col("_h2").alias("h2"), F.col("_text").alias("text")), length)
-    found = table(found.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("spans").alias("_spans")), "spans")
-    return rows.join(found, ["_h1", "_h2"], "left").drop("_h1", "_h2")
+def with_spans(docs: DataFrame, length: int = 400, text: str = "_text", spans: str = "_spans") -> DataFrame:
+    """`docs` with `text` (bytes) and `spans` (from, to; may overlap; or null), in the place of columns of these names: what is repeated of each text."""
+    rows = docs.withColumn(text, utf8()).drop(spans)
+    h = unused(rows.columns, "h1", "h2")
+    rows = rows.withColumns({h[0]: F.xxhash64(text), h[1]: F.xxhash64(F.lit(1), text)})
+    found = table(repeats(rows.select(F.col(h[0]).alias("h1"), F.col(h[1]).alias("h2"), F.col(text).alias("text")), length), "spans")
+    return rows.join(found.toDF(*h, spans), h, "left").drop(*h)
 
 
 def kept(text: bytes, spans: pa.StructArray | None) -> tuple[bytes, int, int]:
@@ -527,12 +524,12 @@ def kept(text: bytes, spans: pa.StructArray | None) -> tuple[bytes, int, int]:
 
 def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     """`docs` without the bytes that are repeated; what isn't UTF-8 then is dropped, and all other columns stay."""
-    rows = with_spans(docs, length)
-    schema = docs.schema
+    names = unused(docs.columns, "text", "spans")
+    rows, schema = with_spans(docs, length, *names), docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [kept(t.as_py(), s.values)[0].decode("utf-8", "ignore") for t, s in zip(batch.column("_text"), batch.column("_spans"), strict=True)]
+            texts = [kept(t.as_py(), s.values)[0].decode("utf-8", "ignore") for t, s in zip(*(batch.column(c) for c in names), strict=True)]
             new = pa.array([x if ok else None for x, ok in zip(texts, batch.column("text").is_valid().to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([new if c == "text" else batch.column(c) for c in schema.names], names=schema.names)
 
