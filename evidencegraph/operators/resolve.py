@@ -7,6 +7,7 @@ and ids follow from the order of the mentions that open an entity.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -125,7 +126,7 @@ def same_name_candidates(left: DataFrame, right: DataFrame, key: str = "n_name")
 
     x, y = (cut(a, False), cut(a, True)), (cut(b, False), cut(b, True))
     met = [s.select("key", F.col("x").alias("a")).join(t.select("key", F.col("x").alias("b")), "key").select("a", "b") for s, t in ((x[0], y[1]), (x[1], y[0]))]
-    pairs = met[0].unionByName(met[1]).filter("a <> b").distinct()
+    pairs = met[0].unionByName(met[1].filter(F.length("a") > F.length("b"))).filter("a <> b").distinct()  # names of one length meet in the first
     return pairs.filter(F.levenshtein("a", "b") * under <= F.greatest(F.length("a"), F.length("b")) * over)
 
 
@@ -322,19 +323,30 @@ def resolve_in_order(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     fields = "block long, seq long, at int, level int, score double, field string, opened long, name string, phone string, wechat string, idcard string, account string, confidence double, sources array<string>, merged_count long, n_conflicts long"
     keyed = blocks(mentions)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        r = Registry()
-        for row in pdf.itertuples(index=False):
-            r.add({**{k: getattr(row, f"n_{k}") or None for k in (*KEYS, "name")}, **{f"raw_{k}": getattr(row, f"r_{k}") or None for k in ACROSS}, "seq": row.seq, "confidence": 1.0 if pd.isna(row.confidence) else row.confidence, "source": row.source or "unknown"})
+    def folded(block: int, r: Registry) -> list[tuple]:
         rows = []
         for seq, at, level, score, field in r.log:
             e = r.entities[at]
             v = e["values"]
-            rows.append((pdf["block"].iloc[0], seq, at, level, score, field, e["seq"], v["name"], v["phone"], v["wechat"], v["idcard"], v["account"], e["confidence"], e["sources"], e["count"], len(e["conflicts"])))
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in fields.split(", ")])
-
-    done = written(keyed.groupBy("block").applyInPandas(fold, fields), "folded")
+            rows.append((block, seq, at, level, score, field, e["seq"], v["name"], v["phone"], v["wechat"], v["idcard"], v["account"], e["confidence"], e["sources"], e["count"], len(e["conflicts"])))
+        return rows
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Block after block: rows come in their order."""
+        names = [f.split()[0] for f in fields.split(", ")]
+        block, r = None, Registry()
+        for pdf in frames:
+            rows: list[tuple] = []
+            for row in pdf.itertuples(index=False):
+                if row.block != block:
+                    rows += folded(block, r)
+                    block, r = row.block, Registry()
+                r.add({**{k: getattr(row, f"n_{k}") or None for k in (*KEYS, "name")}, **{f"raw_{k}": getattr(row, f"r_{k}") or None for k in ACROSS}, "seq": row.seq, "confidence": 1.0 if pd.isna(row.confidence) else row.confidence, "source": row.source or "unknown"})
+            yield pd.DataFrame(rows, columns=names)
+        yield pd.DataFrame(folded(block, r), columns=names)
+
+    wanted = keyed.select("block", "seq", "confidence", "source", *[f"n_{k}" for k in (*KEYS, "name")], *[f"r_{k}" for k in ACROSS])
+    done = written(wanted.repartition("block").sortWithinPartitions("block", "seq").mapInPandas(fold, fields), "folded")
     opened = done.filter("level = 0").select("opened")
     ids = numbered(opened, "opened").select("opened", F.format_string("ENTITY_%06d", F.col("number") + 1).alias("entity_id"))
     done = done.join(ids, "opened")
