@@ -226,6 +226,7 @@ class Registry:
     def __init__(self) -> None:
         self.entities: list[dict] = []
         self.held: dict[str, dict[str, int]] = {k: {} for k in (*KEYS, "name")}
+        self.order: dict[str, int] = {}
         self.log: list[tuple] = []
 
     def add(self, m: dict) -> None:
@@ -237,6 +238,8 @@ class Registry:
             for k in self.held:
                 if m[k]:
                     self.held[k][m[k]] = at
+            if m["name"]:
+                self.order.setdefault(m["name"], len(self.order))
             level, confidence, field = 0, 1.0, None
         else:
             self._merge(self.entities[at], m)
@@ -248,8 +251,10 @@ class Registry:
                 return 1, self.held[k][m[k]], KEY_CONFIDENCE[k], k
         best, score = None, 0.0
         if m["name"]:
-            for name, at in self.held["name"].items():
-                if (s := _composite(m["name"], name)) > score:
+            # `near`, where given, has all names of a score of SAME_NAME or more
+            known = m.get("near")
+            for name, at in self.held["name"].items() if known is None else self._held_of(m["name"], known):
+                if (s := _composite(m["name"], name) if known is None else known.get(name, 1.0)) > score:
                     best, score = at, s
             if best is not None and score >= SAME_NAME:
                 return 2, best, score, "name"
@@ -257,17 +262,25 @@ class Registry:
             for at, e in enumerate(self.entities):
                 if not e["values"]["name"]:
                     continue
-                near = SequenceMatcher(None, m["name"], e["values"]["name"]).ratio()
                 own = self._across(m)
                 both = [k for k in ACROSS if own[k] and e["across"][k]]
-                if near >= SIMILAR_NAME and both:
-                    s = 0.6 * near + 0.4 * sum(own[k] == e["across"][k] for k in both) / len(both)
+                equal = sum(own[k] == e["across"][k] for k in both)
+                if not equal:
+                    continue  # a score of 0.6 at most
+                near = SequenceMatcher(None, m["name"], e["values"]["name"]).ratio()
+                if near >= SIMILAR_NAME:
+                    s = 0.6 * near + 0.4 * equal / len(both)
                     if s > score:
                         best, score = at, s
             if best is not None and score >= SIMILAR_NAME:
                 return 3, best, score, "cross_modal"
         return 0, None, 1.0, None
 
+    def _held_of(self, own: str, known: dict[str, float]) -> list[tuple[str, int]]:
+        """Names that are held of `own` and those known to be near it, in the order in which they were first held."""
+        held = self.held["name"]
+        return [(n, held[n]) for n in sorted((n for n in (own, *known) if n in held), key=self.order.__getitem__)]
+
     @staticmethod
     def _across(m: dict) -> dict:
         return {k: m.get(f"raw_{k}", m[k]) for k in ACROSS}
@@ -296,7 +309,7 @@ class Registry:
 
 
 def blocks(mentions: DataFrame) -> DataFrame:
-    """`mentions` with `block`: those of different blocks share no key, and no names of a composite score of SAME_NAME.
+    """`mentions` with `block`, and the names near theirs with the scores: those of different blocks share no key, and no names of a composite score of SAME_NAME.
 
     A match across modalities needs an equal key, so it stays inside a block.
     """
@@ -307,12 +320,14 @@ def blocks(mentions: DataFrame) -> DataFrame:
         own = held.groupBy("v").agg(F.min("seq").alias("root"))
         part = held.join(own, "v").select(F.col("seq").alias("a"), F.col("root").alias("b"))
         links = part if links is None else links.unionByName(part)
-    near = same_names(keyed, keyed)
+    near = written(same_names(keyed, keyed), "same-names")
     first = keyed.filter("n_name <> ''").groupBy("n_name").agg(F.min("seq").alias("root"))
     similar = near.join(first.select(F.col("n_name").alias("a"), F.col("root").alias("ra")), "a").join(first.select(F.col("n_name").alias("b"), F.col("root").alias("rb")), "b")
     links = links.unionByName(similar.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     roots = components(links.filter("a <> b").select("a", "b"))
-    return keyed.join(roots.select(F.col("node").alias("seq"), F.col("component").alias("_c")), "seq", "left").withColumn("block", F.coalesce("_c", "seq")).drop("_c")
+    listed = near.groupBy(F.col("a").alias("n_name")).agg(F.collect_list("b").alias("near_names"), F.collect_list("score").alias("near_scores"))
+    out = keyed.join(roots.select(F.col("node").alias("seq"), F.col("component").alias("_c")), "seq", "left").withColumn("block", F.coalesce("_c", "seq")).drop("_c")
+    return out.join(listed, "n_name", "left")
 
 
 def resolve_in_order(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -341,11 +356,11 @@ def resolve_in_order(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
                 if row.block != block:
                     rows += folded(block, r)
                     block, r = row.block, Registry()
-                r.add({**{k: getattr(row, f"n_{k}") or None for k in (*KEYS, "name")}, **{f"raw_{k}": getattr(row, f"r_{k}") or None for k in ACROSS}, "seq": row.seq, "confidence": 1.0 if pd.isna(row.confidence) else row.confidence, "source": row.source or "unknown"})
+                r.add({**{k: getattr(row, f"n_{k}") or None for k in (*KEYS, "name")}, **{f"raw_{k}": getattr(row, f"r_{k}") or None for k in ACROSS}, "seq": row.seq, "confidence": 1.0 if pd.isna(row.confidence) else row.confidence, "source": row.source or "unknown", "near": {} if row.near_names is None else dict(zip(row.near_names, row.near_scores, strict=True))})
             yield pd.DataFrame(rows, columns=names)
         yield pd.DataFrame(folded(block, r), columns=names)
 
-    wanted = keyed.select("block", "seq", "confidence", "source", *[f"n_{k}" for k in (*KEYS, "name")], *[f"r_{k}" for k in ACROSS])
+    wanted = keyed.select("block", "seq", "confidence", "source", *[f"n_{k}" for k in (*KEYS, "name")], *[f"r_{k}" for k in ACROSS], "near_names", "near_scores")
     done = written(wanted.repartition("block").sortWithinPartitions("block", "seq").mapInPandas(fold, fields), "folded")
     opened = done.filter("level = 0").select("opened")
     ids = numbered(opened, "opened").select("opened", F.format_string("ENTITY_%06d", F.col("number") + 1).alias("entity_id"))
