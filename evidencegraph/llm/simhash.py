@@ -41,7 +41,11 @@ def shingle_hashes(text: bytes, size: int, seed: int = 42) -> list[int]:
 
 def simhashes(texts: list[bytes], size: int) -> np.ndarray:
     """The 64-bit SimHash of each text: a bit is 1 if it is set in over half of the hashes."""
-    each = [shingle_hashes(t, size) for t in texts]
+    return simhashes_of([shingle_hashes(t, size) for t in texts])
+
+
+def simhashes_of(each: list[list[int]]) -> np.ndarray:
+    """The SimHash of each list of shingle hashes."""
     n = np.fromiter(map(len, each), np.int64, len(each))
     out = np.zeros(len(each), np.uint64)
     flat = np.fromiter((x for e in each for x in e), ">u8", int(n.sum()))
