@@ -39,8 +39,9 @@ def role_scores(rows: DataFrame, roles: DataFrame, truth: str = "true_role", pre
 
 
 def macro_f1(scores: DataFrame, digits: int = 4) -> DataFrame:
-    """AGG-15: the mean of rounded f1."""
-    return scores.agg(F.round(F.avg("f1"), digits).alias("macro_f1"))
+    """AGG-15: the mean of rounded f1, added as decimals: in doubles a tie would be rounded by the order of rows."""
+    mean = F.avg(F.col("f1").cast("decimal(20,18)"))
+    return scores.agg(F.round(mean, digits).cast("double").alias("macro_f1"))
 
 
 def majority(votes: DataFrame, item: str, label: str, order: str) -> DataFrame:
