@@ -6,12 +6,15 @@ shared folder, so that lineage stays short and lost executors cost one round.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hours_apart, micros, temporal_weight
-from ..tables import new_folder, written
+from ..tables import new_folder, spread, written
 
 DAY = 24.0
 
@@ -245,7 +248,7 @@ def louvain(edges: list[tuple]) -> dict:
                 c = own[n]
                 held[c] -= degree[n]
                 gain = lambda x: links.get(x, 0.0) - held[x] * degree[n] / total  # noqa: B023, E731
-                best = max([c, *sorted(links)], key=lambda x: (round(gain(x), 12), x == c, -list(sorted(links)).index(x) if x in links else 0))  # noqa: B023
+                best = max([c, *sorted(links)], key=lambda x: (round(gain(x), 12), x == c))  # noqa: B023  of equals the first one
                 held[best] += degree[n]
                 if best != c:
                     own[n] = best
@@ -273,12 +276,31 @@ def communities(edges: DataFrame) -> DataFrame:
     roots = components(edges.select(F.col("source").alias("a"), F.col("target").alias("b")))
     rows = edges.join(roots.select(F.col("node").alias("source"), "component"), "source").select("component", "source", "target", F.col("weight").cast("double").alias("weight"))
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["source", "target"])
-        found = louvain(list(pdf[["source", "target", "weight"]].itertuples(index=False, name=None)))
-        return pd.DataFrame({"node": list(found), "community": list(found.values())})
-
-    return rows.groupBy("component").applyInPandas(work, f"node {kind}, community {kind}")
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Component after component, as they come in order: many are small, and each as a group of its own costs more than its work."""
+        held: list[pd.DataFrame] = []
+
+        def found(rows: pd.DataFrame) -> pd.DataFrame:
+            of: dict = {}
+            for _, part in itertools.groupby(rows.itertuples(index=False, name=None), lambda r: r[0]):
+                of |= louvain([r[1:] for r in part])
+            return pd.DataFrame({"node": list(of), "community": list(of.values())})
+
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            cut = int((pdf["component"] == pdf["component"].iloc[-1]).to_numpy().argmax())  # the last one may go on
+            if held and (cut or pdf["component"].iloc[0] != held[-1]["component"].iloc[0]):
+                held.append(pdf.iloc[:cut])
+                yield found(pd.concat(held))
+                held = []
+            elif cut:
+                yield found(pdf.iloc[:cut])
+            held.append(pdf.iloc[cut:])
+        if held:
+            yield found(pd.concat(held))
+
+    return spread(rows, "component").sortWithinPartitions("component", "source", "target").mapInPandas(work, f"node {kind}, community {kind}")
 
 
 def relation_distribution(events: DataFrame) -> DataFrame:
