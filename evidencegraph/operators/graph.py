@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hours_apart, micros, temporal_weight
-from ..tables import new_folder, spread, written
+from ..tables import new_folder, spread, tasks_of, written
 
 DAY = 24.0
 
@@ -23,21 +23,25 @@ def cooccurrences(mentions: DataFrame, entity: str = "entity", unit: str = "uuid
     """JOI-6, AGG-4: source, target, common units, weight = common units times mean confidence.
 
     Pairs are counted from an equi-join on the unit; an entity counts once in a unit. Units are messages, with few entities each.
+    Each wide step is dealt to tasks by the size of the input, so that what one holds doesn't grow with it.
     """
-    once = mentions.groupBy(unit, entity).agg(F.max("confidence").alias("c"))
+    n = tasks_of(mentions)
+    once = mentions.select(unit, entity, "confidence").repartition(n, unit).groupBy(unit, entity).agg(F.max("confidence").alias("c"))
     a = once.select(unit, F.col(entity).alias("source"))
     b = once.select(unit, F.col(entity).alias("target"))
-    pairs = a.join(b, unit).filter("source < target").groupBy("source", "target").agg(F.count("*").alias("common"))
+    pairs = a.join(b, unit).filter("source < target").select("source", "target").repartition(n, "source", "target").groupBy("source", "target").agg(F.count("*").alias("common"))
     conf = mentions.groupBy(entity).agg(F.max("confidence").alias("c"))
-    out = pairs.join(conf.select(F.col(entity).alias("source"), F.col("c").alias("c1")), "source").join(conf.select(F.col(entity).alias("target"), F.col("c").alias("c2")), "target")
+    of = lambda c, name: conf.select(F.col(entity).alias(c), F.col("c").alias(name)).repartition(n, c)
+    out = pairs.repartition(n, "source").join(of("source", "c1"), "source").repartition(n, "target").join(of("target", "c2"), "target")
     return out.select("source", "target", "common", (F.col("common") * (F.col("c1") + F.col("c2")) / 2).alias("weight"))
 
 
 def shared_source_edges(entities: DataFrame) -> DataFrame:
     """JOI-9a: entities with common sources; the weight is how many."""
-    s = entities.select("entity_id", F.explode("sources").alias("s")).distinct()
+    n = tasks_of(entities)
+    s = entities.select("entity_id", F.explode("sources").alias("s")).repartition(n, "s").distinct()
     pairs = s.withColumnRenamed("entity_id", "source").join(s.withColumnRenamed("entity_id", "target"), "s").filter("source < target")
-    return pairs.groupBy("source", "target").agg(F.count("*").cast("double").alias("weight")).withColumn("relation", F.lit("co-occurrence"))
+    return pairs.select("source", "target").repartition(n, "source", "target").groupBy("source", "target").agg(F.count("*").cast("double").alias("weight")).withColumn("relation", F.lit("co-occurrence"))
 
 
 def temporal_edges(points: DataFrame, within: list[str] | None = None, hours: float = DAY) -> DataFrame:
@@ -86,7 +90,8 @@ def image_text_edges(persons: DataFrame, entities: DataFrame, existing: DataFram
 
 def upsert(events: DataFrame) -> DataFrame:
     """AGG-5: one edge for each pair: weights add up, frequency counts, the first relation (by seq) names it, the earliest time dates it."""
-    return events.groupBy(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).agg(
+    own = events.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"), "weight", "relation", "seq", "ts")
+    return spread(own, "source", "target").groupBy("source", "target").agg(
         F.sum("weight").alias("weight"), F.count("*").alias("frequency"), F.min_by("relation", "seq").alias("relation"), F.min("ts").alias("ts")
     )
 
@@ -114,6 +119,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """GRA-3, GRA-8: one row; nodes without an edge count, with degree 0; no node gives zeros."""
+    edges = written(edges.select("source", "target", "weight"), "edges")  # four sums are taken of them
     n = nodes.select("node").distinct()
     d = n.join(degrees(edges), "node", "left").agg(
         F.count("*").alias("node_count"),
@@ -169,7 +175,9 @@ def distances(edges: DataFrame, start, depth: int | None = None) -> DataFrame:
     Each round joins the edges to the last frontier and adds the new one to the table of paths.
     """
     spark = edges.sparkSession
-    ways = written(both_ways(edges.withColumn("weight", F.lit(1.0))).select("node", "neighbour").distinct(), "ways")
+    n = tasks_of(edges)
+    ways = both_ways(edges.select("source", "target", F.lit(1.0).alias("weight"))).select("node", "neighbour").repartition(n, "node")
+    ways = written(ways.distinct(), "ways")
     front = spark.range(1).select(F.lit(start).cast(edges.schema["source"].dataType).alias("node"))
     front = front.withColumn("path", F.array("node"))
     folder, schema = new_folder(spark, "paths"), front.withColumn("hops", F.lit(0)).select("node", "path", "hops").schema
@@ -180,8 +188,9 @@ def distances(edges: DataFrame, start, depth: int | None = None) -> DataFrame:
         if front.isEmpty() or hops == depth:
             return spark.read.schema(schema).option("basePath", folder).parquet(folder).select("node", "hops", "path")
         seen = spark.read.schema(schema).option("basePath", folder).parquet(folder).select("node")
-        found = front.join(ways, "node").groupBy(F.col("neighbour").alias("node")).agg(F.min("path").alias("path"))
-        front = found.join(seen, "node", "left_anti").select("node", F.concat("path", F.array("node")).alias("path"))
+        met = front.repartition(n, "node").join(ways.repartition(n, "node"), "node").select(F.col("neighbour").alias("node"), "path")
+        found = met.repartition(n, "node").groupBy("node").agg(F.min("path").alias("path"))
+        front = found.join(seen.repartition(n, "node"), "node", "left_anti").select("node", F.concat("path", F.array("node")).alias("path"))
         hops += 1
 
 
@@ -192,8 +201,10 @@ def shortest_path(edges: DataFrame, start, end) -> DataFrame:
 
 def ego_network(edges: DataFrame, center, depth: int = 1) -> DataFrame:
     """GRA-6: the edges among all nodes within `depth` hops."""
-    inside = distances(edges, center, depth).select("node")
-    return edges.join(inside.withColumnRenamed("node", "source"), "source", "left_semi").join(inside.withColumnRenamed("node", "target"), "target", "left_semi")
+    inside, n = distances(edges, center, depth).select("node"), tasks_of(edges)
+    for end in ("source", "target"):
+        edges = edges.repartition(n, end).join(inside.withColumnRenamed("node", end).repartition(n, end), end, "left_semi")
+    return edges
 
 
 def isolated(entities: DataFrame, edges: DataFrame) -> DataFrame:

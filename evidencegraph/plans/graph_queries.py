@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import graph, resolve
+from ..tables import spread
 from .inputs import EDGE_EVENTS, MENTIONS, SPARSE_EDGES, edge_events, mentions, sparse_edges, table
 
 UPSERTED = f"""
@@ -251,7 +252,7 @@ def multimodal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 select a.e as source, b.e as target, count(*)::double as weight from s a join s b on a.s = b.s and a.e < b.e group by 1, 2""",
 )
 def shared_source_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("entity_id")).agg(F.collect_set("l_orderkey").alias("sources"))
+    li = spread(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("entity_id"), "l_orderkey"), "entity_id").groupBy("entity_id").agg(F.collect_set("l_orderkey").alias("sources"))
     return graph.shared_source_edges(li).drop("relation")
 
 

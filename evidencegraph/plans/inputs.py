@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import tasks_of
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,6 +40,8 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts in orders as entities in messages."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_discount", "l_returnflag")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    n = tasks_of(rows, parts)
+    rows, parts = rows.repartition(n, "l_partkey"), parts.repartition(n, "p_partkey")
     return rows.join(parts, rows.l_partkey == parts.p_partkey).select(
         F.col("l_orderkey").alias("uuid"),
         F.col("l_partkey").alias("entity"),
@@ -60,6 +64,8 @@ def edge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers and customers of one order as events of edges, in both directions; even orders are transfers."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
+    n = tasks_of(o, li)
+    o, li = o.repartition(n, "o_orderkey"), li.repartition(n, "l_orderkey")
     s, c = F.col("l_suppkey"), F.col("o_custkey") + 1_000_000
     odd = F.col("l_linenumber") % 2 == 1
     return o.join(li, o.o_orderkey == li.l_orderkey).select(

@@ -31,6 +31,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of the files' columns that a task of a wide step takes, as Catalyst estimates them; in memory rows are some tens of times larger.
+TASK_BYTES = 2 << 20
+
+
+def tasks_of(*inputs: DataFrame) -> int:
+    """Tasks for a step over `inputs`, so that one's rows don't grow with them: as many as shuffles have, or more by the bytes that are read.
+
+    Partitions of a given number are not put together by adaptive execution, which makes as many as there are cores, however large.
+    """
+    n = int(inputs[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = 0
+    for df in inputs:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+        size += sum(s for s in sizes if s < 1 << 62)  # a leaf of unknown size has the greatest number
+    return max(n, -(-size // TASK_BYTES))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """`df` dealt by `keys` to as many tasks as shuffles have, however few its bytes, for rows that take much work."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(tasks_of(df), *keys)
