@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DataType, StructField, StructType
 
 from ..functions.scalars import keyed_tag
 from ..tables import written
@@ -62,10 +65,44 @@ def candidates(text: str, context: bool = True) -> list[tuple[int, int, str, str
     return out
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("kind", StringType()), StructField("raw", StringType())])))
-def found_spans(text: pd.Series) -> pd.Series:
-    # offsets of matches are beyond the built-in functions
-    return text.map(lambda t: [{"start": a, "end": b, "kind": k, "raw": r} for a, b, k, r in candidates(t or "")])
+#: Bytes of text whose spans are made at a time.
+PIECE = 256 << 10
+_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("raw", pa.string())])
+
+
+def spans_of(texts: list[str]) -> pa.ListArray:
+    """The candidates of each text, column by column."""
+    ends, start, end, kind, raw = [0], [], [], [], []
+    for text in texts:
+        for a, b, k, r in candidates(text or ""):
+            start.append(a)
+            end.append(b)
+            kind.append(k)
+            raw.append(r)
+        ends.append(len(start))
+    spans = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(kind, pa.string()), pa.array(raw, pa.string())], fields=list(_SPAN))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)
+
+
+def with_candidates(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """`rows` with the candidates of `text` as `name`: offsets of matches are beyond the built-in functions.
+
+    Nearly each word is a span, so a batch of texts is worked on in pieces of PIECE bytes, which go back one by one.
+    """
+    at = rows.columns.index(text)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at)
+            size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+            begin = 0
+            while begin < len(size):
+                end = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + PIECE, "right")))
+                piece = batch.slice(begin, end - begin)
+                yield pa.RecordBatch.from_arrays([*piece.columns, spans_of(piece.column(at).to_pylist())], names=[*batch.schema.names, name])
+                begin = end
+
+    return rows.mapInArrow(work, StructType([*rows.schema, StructField(name, DataType.fromDDL(SPAN))]))
 
 
 def resolved(spans: Column) -> Column:
@@ -99,7 +136,7 @@ def pseudonymized(rows: DataFrame, salt: str, text: str = "content", seq: str |
     without, that of the kind it has where it stands.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    out = rows.withColumn("_found", found_spans(body)).withColumn("spans", resolved(F.col("_found")))
+    out = with_candidates(rows, text, "_found").withColumn("spans", resolved(F.col("_found")))
     out = out.withColumn("nested", F.size("_found") - F.size("spans")).drop("_found")
     if seq is None:
         return out.withColumn(text, rewritten(body, F.col("spans"), salt))
