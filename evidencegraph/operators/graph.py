@@ -91,7 +91,7 @@ def image_text_edges(persons: DataFrame, entities: DataFrame, existing: DataFram
 def upsert(events: DataFrame) -> DataFrame:
     """AGG-5: one edge for each pair: weights add up, frequency counts, the first relation (by seq) names it, the earliest time dates it."""
     own = events.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"), "weight", "relation", "seq", "ts")
-    return spread(own, "source", "target").groupBy("source", "target").agg(
+    return own.repartition(tasks_of(own), "source", "target").groupBy("source", "target").agg(
         F.sum("weight").alias("weight"), F.count("*").alias("frequency"), F.min_by("relation", "seq").alias("relation"), F.min("ts").alias("ts")
     )
 

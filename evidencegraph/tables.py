@@ -36,12 +36,11 @@ TASK_BYTES = 2 << 20
 
 
 def tasks_of(*inputs: DataFrame) -> int:
-    """Tasks for a step over `inputs`, so that one's rows don't grow with them: as many as shuffles have, or more by the bytes that are read.
+    """Tasks for a step over `inputs`, so that one's rows don't grow with them: as many as there are cores, or more by the bytes that are read.
 
     Partitions of a given number are not put together by adaptive execution, which makes as many as there are cores, however large.
     """
-    n = int(inputs[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = 0
+    n, size = inputs[0].sparkSession.sparkContext.defaultParallelism, 0
     for df in inputs:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
         sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
@@ -51,4 +50,4 @@ def tasks_of(*inputs: DataFrame) -> int:
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """`df` dealt by `keys` to as many tasks as shuffles have, however few its bytes, for rows that take much work."""
-    return df.repartition(tasks_of(df), *keys)
+    return df.repartition(max(tasks_of(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
